@@ -32,6 +32,11 @@ def as_confidence(percent: Column) -> Column:
     return (percent.cast("decimal(4,0)") * F.lit(Decimal("0.01"))).cast("decimal(5,4)")
 
 
+def places(value: Column, n: int) -> Column:
+    """Text of a number with n decimal places, rounded half up."""
+    return value.cast("decimal(28,8)").cast(f"decimal(28,{n})").cast("string")
+
+
 def _div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("long")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewall import fixed
 from tidewall.functions.dialect import fold, fold_lower, java_pattern
+from tidewall.functions.plan import pinned
 from tidewall.functions.text import SEEN_BITS, text_profile
 
 _OVERRIDE_VERBS = (
@@ -185,7 +186,7 @@ def with_profile(df: DataFrame, text: str) -> DataFrame:
     """Add `_profile`: character statistics and literal presence of a text column."""
     if "_profile" in df.columns:
         return df
-    return df.withColumn("_profile", text_profile(text, _FOLDED, _LOWERED, RAW_LITERALS, ("nc",)))
+    return df.withColumn("_profile", pinned(text_profile(text, _FOLDED, _LOWERED, RAW_LITERALS, ("nc",))))
 
 
 def seen(mode: str, literals: tuple[str, ...]) -> Column:
@@ -256,7 +257,7 @@ def rule_labels(detector: fixed.Detector, raw: Column) -> Column:
 def with_labels(df: DataFrame, text: str, detectors=fixed.TEXT_RULE_DETECTORS) -> DataFrame:
     """Add `labels_<key>` for each rule detector; expects `with_text_forms`."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({f"labels_{d.key}": rule_labels(d, raw) for d in detectors}).drop("_fold", "_flower", "_lower")
+    return df.withColumns({f"labels_{d.key}": pinned(rule_labels(d, raw)) for d in detectors}).drop("_fold", "_flower", "_lower")
 
 
 def detect(df: DataFrame, text: str, detector: fixed.Detector) -> DataFrame:
@@ -278,8 +279,8 @@ def detect(df: DataFrame, text: str, detector: fixed.Detector) -> DataFrame:
     )
     return out.select(
         *keep,
-        labels.alias("labels"),
-        as_score(points).alias("score"),
-        as_confidence(percent).alias("confidence"),
-        reason(labels, detector).alias("reason"),
+        pinned(labels).alias("labels"),
+        pinned(as_score(points)).alias("score"),
+        pinned(as_confidence(percent)).alias("confidence"),
+        pinned(reason(labels, detector)).alias("reason"),
     )

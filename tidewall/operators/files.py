@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewall import fixed
-from tidewall.functions.scoring import as_confidence, as_score, reason, score_detector, with_override
+from tidewall.functions.plan import pinned
+from tidewall.functions.scoring import as_confidence, as_score, places, reason, score_detector, with_override
 from tidewall.functions.text import short_text_stats
 
 
@@ -165,16 +166,16 @@ def scan_files(df: DataFrame, content: str, name: str, detector: fixed.Detector)
     nothing = F.size("labels") == 0
     return out.select(
         *keep,
-        "labels",
-        as_score(F.when(nothing, F.lit(0)).otherwise(points)).alias("score"),
-        as_confidence(F.when(nothing, F.lit(100)).otherwise(percent)).alias("confidence"),
-        reason(F.col("labels"), detector).alias("reason"),
+        pinned("labels").alias("labels"),
+        pinned(as_score(F.when(nothing, F.lit(0)).otherwise(points))).alias("score"),
+        pinned(as_confidence(F.when(nothing, F.lit(100)).otherwise(percent))).alias("confidence"),
+        pinned(reason(F.col("labels"), detector)).alias("reason"),
     )
 
 
 def size_text(content: Column | str) -> Column:
     kb = F.length(_col(content)) / F.lit(1024.0)
-    return F.when(kb < 1024, F.format_string("%.2f KB", kb)).otherwise(F.format_string("%.2f MB", kb / 1024.0))
+    return F.when(kb < 1024, F.concat(places(kb, 2), F.lit(" KB"))).otherwise(F.concat(places(kb / 1024.0, 2), F.lit(" MB")))
 
 
 def file_type(name: Column | str) -> Column:
@@ -252,8 +253,9 @@ def file_gate(df: DataFrame, content: str, name: str, extracted: str | None = No
                 ),
                 F.when(
                     oversize(c),
-                    F.format_string(
-                        "ABNORMAL_FILE_SIZE: File size (%.2f MB) exceeds maximum security threshold of 5MB.", megabytes
+                    F.concat(
+                        F.lit("ABNORMAL_FILE_SIZE: File size ("), places(megabytes, 2),
+                        F.lit(" MB) exceeds maximum security threshold of 5MB."),
                     ),
                 ),
                 F.when(starts_with(c, b"MZ"), F.lit("Executable Payload (MZ Header Detected)")),
@@ -307,8 +309,8 @@ def file_gate(df: DataFrame, content: str, name: str, extracted: str | None = No
     )
     return out.select(
         *df.columns,
-        is_safe.alias("is_safe"),
-        "threats",
-        F.when(_has_bytes(c), message).otherwise("No file attachment scanned.").alias("explanation"),
-        F.when(is_safe & _has_bytes(c), F.col("_text")).alias("extracted_text"),
+        pinned(is_safe).alias("is_safe"),
+        pinned("threats").alias("threats"),
+        pinned(F.when(_has_bytes(c), message).otherwise("No file attachment scanned.")).alias("explanation"),
+        pinned(F.when(is_safe & _has_bytes(c), F.col("_text"))).alias("extracted_text"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewall import fixed
 from tidewall.functions.dialect import java_pattern
+from tidewall.functions.plan import pinned
 from tidewall.operators.detect import KEY_WORDS, seen, with_profile
 
 # What the original text must contain for a step to be tried at all: necessary conditions of the patterns.  Masks add
@@ -110,7 +111,7 @@ def redact(df: DataFrame, text: str, profile: str = "default") -> DataFrame:
     entities = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(label)) for label, flag in flags]))
     if profile == "strict":
         entities = F.array_distinct(entities)  # two key kinds share one label
-    return out.select(*df.columns, F.col(f"_t{now}").alias("sanitized"), entities.alias("entities"))
+    return out.select(*df.columns, pinned(f"_t{now}").alias("sanitized"), pinned(entities).alias("entities"))
 
 
 def pii_summary(df: DataFrame, text: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewall import fixed
+from tidewall.functions.plan import pinned
 from tidewall.functions.scoring import (
     EMPTY_REASON,
     as_confidence,
@@ -154,7 +155,7 @@ def with_scores(
     detectors = fixed.DETECTORS + tuple(e.rules for e in extra)
     return out.select(
         *keep, "scanned", "masked",
-        *[f"{kind}_{d.key}" for d in detectors for kind in ("labels", "bp", "pct")],
+        *[pinned(c).alias(c) for d in detectors for c in (f"labels_{d.key}", f"bp_{d.key}", f"pct_{d.key}")],
     )
 
 
@@ -198,15 +199,15 @@ def screen(
     return out.select(
         *keep,
         *(["scanned", "masked"] if keep_text else []),
-        as_score(F.col("_risk")).alias("risk"),
-        F.col("action"),
-        severity.alias("severity"),
-        reasoning.alias("reasoning"),
-        findings(points, labels).alias("findings"),
-        choose_sanitized(
-            F.col("action"), as_score(F.col("bp_sensitive")), F.col("masked"), F.col("scanned")
+        pinned(as_score(F.col("_risk"))).alias("risk"),
+        pinned("action").alias("action"),
+        pinned(severity).alias("severity"),
+        pinned(reasoning).alias("reasoning"),
+        pinned(findings(points, labels)).alias("findings"),
+        pinned(
+            choose_sanitized(F.col("action"), as_score(F.col("bp_sensitive")), F.col("masked"), F.col("scanned"))
         ).alias("sanitized_input"),
-        results.alias("results"),
+        pinned(results).alias("results"),
     )
 
 

@@ -202,3 +202,121 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("content"),
         )
     )
+
+
+# Event type -> (event source, trigger type) of the log that is derived from the events table.
+EVENT_MAP = {
+    "signup": ("INJECTION", "PROMPT_INJECTION (Prompt Injection Detector)"),
+    "error": ("INJECTION", "SQL_INJECTION (SQL Injection Detector)"),
+    "click": ("INJECTION", "JAILBREAK (Jailbreak Detector)"),
+    "purchase": ("PII", "SENSITIVE_DATA (Sensitive Data Detector)"),
+    "view": ("FILE", "FILE_SANDBOX (File Sandbox Scanner)"),
+}
+
+
+def _map(which: int):
+    return F.element_at(
+        F.create_map(*[F.lit(x) for k, v in EVENT_MAP.items() for x in (k, v[which])]), F.col("event_type")
+    )
+
+
+def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a security log: log_id, session_id, ts, raw_input, sanitized_input, risk, action (and event_type)."""
+    from tidewall.operators.risk import _by_threshold
+
+    bp = (F.round(F.col("value") * 100).cast("long") % 10000).alias("_bp")
+    rows = table(spark, sf_dir, "events").select("*", bp)
+    return rows.select(
+        F.col("event_id").alias("log_id"),
+        F.concat(F.lit("session-"), F.col("user_id").cast("string")).alias("session_id"),
+        "ts",
+        F.col("props").alias("raw_input"),
+        F.when(F.col("_bp") < 8100, F.col("props")).alias("sanitized_input"),
+        (F.col("_bp") / 10000).alias("risk"),
+        _by_threshold(F.col("_bp"), 1).alias("action"),
+        "event_type",
+    )
+
+
+def event_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Security events of `event_logs`: a detector event above 0.10 and a policy event where not simply allowed."""
+    from tidewall.operators.risk import event_severity
+
+    logs = event_logs(spark, sf_dir)
+    score = F.col("risk").cast("decimal(5,4)")
+
+    def details(reason, matched):
+        return F.struct(
+            score.alias("score"), F.lit("0.90").cast("decimal(5,4)").alias("confidence"), reason.alias("reason"),
+            matched.alias("matched"),
+        )
+
+    found = F.when(
+        F.col("risk") > 0.1,
+        F.struct(
+            F.lit(0).alias("position"), _map(0).alias("agent_source"), _map(1).alias("trigger_type"),
+            event_severity(score).alias("severity_level"),
+            details(F.concat(F.lit("<b>Matched</b> "), F.col("event_type")), F.array(F.upper("event_type"))).alias("details"),
+        ),
+    )
+    policy = F.when(
+        F.col("action") != "ALLOW",
+        F.struct(
+            F.lit(11).alias("position"), F.lit("RISK_SCORE").alias("agent_source"),
+            F.lit("GATEWAY_POLICY_ENFORCEMENT").alias("trigger_type"), event_severity(score).alias("severity_level"),
+            details(F.lit("Policy"), F.array().cast("array<string>")).alias("details"),
+        ),
+    )
+    return logs.select("log_id", "ts", F.inline(F.array_compact(F.array(found, policy))))
+
+
+def event_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_logs(spark, sf_dir).filter("action = 'HUMAN_REVIEW'").select(
+        F.col("log_id").alias("approval_id"), "log_id", F.lit("PENDING").alias("status"),
+        F.lit(None).cast("string").alias("reviewer_id"), F.lit(None).cast("string").alias("review_notes"),
+        F.col("ts").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("reviewed_at"),
+    )
+
+
+STATUSES = ("approved", "REJECTED", "Approved", "later")
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as review decisions: several per ticket, bad status texts, unknown tickets."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("decision_id"),
+        (F.col("event_id") - F.col("event_id") % 3).alias("approval_id"),
+        F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (F.col("event_id") % 4 + 1).cast("int")).alias("status"),
+        F.concat(F.lit("rev-"), F.col("user_id").cast("string")).alias("reviewer_id"),
+        F.col("event_type").alias("review_notes"),
+        "ts",
+    )
+
+
+ARGUMENTS = (
+    '"note": "please confirm"',
+    '"url": "https://api.example.com/x?a=1"',
+    '"url": "http://other.test/a"',
+    '"file": "report.txt"',
+    '"n": 1.5',
+    '"note": "hello"',
+    '"host": "data.example.org:8080"',
+    '"q": "DROP it"',
+    '"a": {"b": "x.y"}, "c": "notexample.com"',
+    '"u": "ftp://sub.example.com/f", "v": "example.com/path"',
+)
+SERVERS = ("files", "web", "old", "none")
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as tool calls: call_id, server, tool, args_json."""
+    n = len(ARGUMENTS)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("call_id"),
+        F.element_at(F.array(*[F.lit(s) for s in SERVERS]), (F.col("user_id") % 4 + 1).cast("int")).alias("server"),
+        F.when(F.col("event_type") == "error", "unlisted").otherwise(F.col("event_type")).alias("tool"),
+        F.replace(
+            F.col("props"), F.lit("}"),
+            F.concat(F.lit(", "), F.element_at(F.array(*[F.lit(a) for a in ARGUMENTS]), (F.col("event_id") % n + 1).cast("int")), F.lit("}")),
+        ).alias("args_json"),
+    )

@@ -196,7 +196,7 @@ FROM feat JOIN redacted USING (prompt_id)"""
 TEXT_KEYS = [d for d in fixed.DETECTORS if d not in (fixed.MALWARE, fixed.SANDBOX)]
 
 
-def screened(prompts: str = PROMPTS) -> str:
+def screened(prompts: str = PROMPTS, reasons: bool = False) -> str:
     """CTEs ending in `screened`: one row per prompt with the ten results, risk, action, reasoning and findings."""
     label_cols = ", ".join(f"{label_list(d)} AS lab_{d.key}" for d in fixed.TEXT_RULE_DETECTORS)
     parts = []
@@ -211,10 +211,10 @@ hits AS (SELECT feat.*, masked, entities AS lab_sensitive, {label_cols}, CAST([]
          CAST([] AS VARCHAR[]) AS lab_sandbox
          FROM feat JOIN redacted USING (prompt_id)),
 scored AS (SELECT *, {', '.join(parts)} FROM hits),
-{composite('scored')}"""
+{composite('scored', reasons)}"""
 
 
-def composite(source: str) -> str:
+def composite(source: str, reasons: bool) -> str:
     keys = fixed.DETECTORS
     top = "greatest(" + ", ".join(f"s_{d.key}" for d in keys) + ")"
     total = sum(float(fixed.RISK_WEIGHTS[d.display]) for d in keys)
@@ -223,15 +223,16 @@ def composite(source: str) -> str:
     found = "flatten([" + ", ".join(
         f"CASE WHEN s_{d.key} > 0.10 THEN lab_{d.key} ELSE CAST([] AS VARCHAR[]) END" for d in keys
     ) + "])"
+    texts = "".join(f", {described('lab_' + d.key)} AS d_{d.key}" for d in keys) if reasons else ""
     v = fixed.VERDICTS
     rows = [
-        f"{{'detector': {q(d.display)}, 'score': s_{d.key}, 'confidence': c_{d.key}, 'matched': lab_{d.key}, 'reason': {reason_case(d)}}}"
+        f"{{'detector': {q(d.display)}, 'score': s_{d.key}, 'confidence': c_{d.key}, 'matched': lab_{d.key}, 'reason': {reason_case(d) if reasons else q('')}}}"
         for d in keys
     ]
     assert abs(total - 2.0) < 1e-9
     case = lambda i: "CASE " + " ".join(f"WHEN risk >= {r[0]} THEN {q(r[i])}" for r in v[:-1]) + f" ELSE {q(v[-1][i])} END"
     return f"""parts AS (SELECT *, {top} AS top, CAST({mean} AS DECIMAL(18,6)) AS weighted, {triggered} AS triggered,
-                 {found} AS found FROM {source}),
+                 {found} AS found{texts} FROM {source}),
 risks AS (SELECT *, CASE WHEN top > 0 THEN CAST(least(1.0, round(
             CAST(top AS DECIMAL(38,16)) + CAST((1 - top) * (weighted * 0.5) AS DECIMAL(30,14)) * (CASE WHEN triggered > 0 THEN 0.20 ELSE 0.18 END)
             + (len(found) % 100) * 0.0002, 4)) AS DECIMAL(9,4)) ELSE CAST(0 AS DECIMAL(9,4)) END AS risk FROM parts),
@@ -242,13 +243,16 @@ screened AS (SELECT *, {case(1)} AS action, {case(2)} AS severity,
             FROM risks)"""
 
 
-def reason_text(labels: str, detector: fixed.Detector) -> str:
+def described(labels: str) -> str:
+    """SQL list of the texts of labels, with repeats."""
     texts = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fixed.LABEL_TEXT.items())
-    described = (
-        f"list_transform({labels}, lambda x: CASE string_split(x, ':')[1] {texts} "
-        "ELSE 'Signature match (' || string_split(x, ':')[1] || ')' END)"
-    )
-    distinct = f"list_filter({described}, lambda x, i: list_position({described}, x) = i)"
+    name = "string_split(x, ':')[1]"
+    return f"list_transform({labels}, lambda x: CASE {name} {texts} ELSE 'Signature match (' || {name} || ')' END)"
+
+
+def reason_text(texts: str, detector: fixed.Detector) -> str:
+    """Reason of a detector from a list of label texts."""
+    distinct = f"list_filter({texts}, lambda x, i: list_position({texts}, x) = i)"
     return f"'Detected {detector.title} indicators: ' || array_to_string({distinct}, ', ') || '.'"
 
 
@@ -257,4 +261,111 @@ def reason_case(detector: fixed.Detector) -> str:
 
     clean = CLEAN_REASONS.get(detector.key, f"No threat signatures triggered for {detector.title}.")
     empty = "" if detector in (fixed.MALWARE, fixed.SANDBOX) else "WHEN chars = 0 THEN 'Empty prompt.' "
-    return f"CASE {empty}WHEN len(lab_{detector.key}) > 0 THEN {reason_text('lab_' + detector.key, detector)} ELSE {q(clean)} END"
+    return f"CASE {empty}WHEN len(lab_{detector.key}) > 0 THEN {reason_text('d_' + detector.key, detector)} ELSE {q(clean)} END"
+
+
+# ------------------------------------------------------------------------------------------------ log tables
+def verdict_case(risk: str, i: int = 1) -> str:
+    v = fixed.VERDICTS
+    return "CASE " + " ".join(f"WHEN {risk} >= {r[0]} THEN {q(r[i])}" for r in v[:-1]) + f" ELSE {q(v[-1][i])} END"
+
+
+def severity_case(score: str) -> str:
+    rows = " ".join(f"WHEN {score} > {a} THEN {q(s)}" for a, s in fixed.EVENT_SEVERITIES)
+    return f"CASE {rows} ELSE 'LOW' END"
+
+
+def _event_case(which: int) -> str:
+    return "CASE event_type " + " ".join(f"WHEN {q(k)} THEN {q(v[which])}" for k, v in inputs.EVENT_MAP.items()) + " END"
+
+
+EVENT_LOGS = f"""
+ev AS (SELECT *, CAST(round(value * 100) AS BIGINT) % 10000 AS bp FROM events),
+logs AS (SELECT event_id AS log_id, 'session-' || user_id AS session_id, ts, props AS raw_input,
+                CASE WHEN bp < 8100 THEN props END AS sanitized_input, CAST(bp AS DOUBLE) / 10000 AS risk,
+                CAST(bp AS DECIMAL(9,4)) * 0.0001 AS drisk,
+                {verdict_case('CAST(bp AS DECIMAL(9,4)) * 0.0001')} AS action, event_type FROM ev)"""
+EVENT_CHILDREN = f"""
+evts AS (
+  SELECT log_id, ts, 0 AS position, {_event_case(0)} AS agent_source, {_event_case(1)} AS trigger_type,
+         {severity_case('drisk')} AS severity_level, 0.90 AS confidence, '<b>Matched</b> ' || event_type AS reason,
+         [upper(event_type)] AS matched, drisk AS score FROM logs WHERE drisk > 0.10
+  UNION ALL
+  SELECT log_id, ts, 11, 'RISK_SCORE', 'GATEWAY_POLICY_ENFORCEMENT', {severity_case('drisk')}, 0.90, 'Policy',
+         CAST([] AS VARCHAR[]), drisk FROM logs WHERE action <> 'ALLOW')"""
+EVENT_TICKETS = "tickets AS (SELECT log_id AS approval_id, log_id, 'PENDING' AS status, ts AS created_at FROM logs WHERE action = 'HUMAN_REVIEW')"
+DECISIONS = f"""
+decisions AS (SELECT event_id AS decision_id, event_id - event_id % 3 AS approval_id,
+              {sql_list(inputs.STATUSES)}[event_id % 4 + 1] AS status, 'rev-' || user_id AS reviewer_id,
+              event_type AS review_notes, ts FROM events),
+valid AS (SELECT *, upper(status) AS verdict FROM decisions WHERE upper(status) IN ('APPROVED', 'REJECTED')),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY approval_id ORDER BY ts, decision_id) AS rn FROM valid)"""
+TOOL_CALLS = f"""
+calls AS (SELECT event_id AS call_id, {sql_list(inputs.SERVERS)}[user_id % 4 + 1] AS server,
+          CASE WHEN event_type = 'error' THEN 'unlisted' ELSE event_type END AS tool,
+          replace(props, '}}', ', ' || {sql_list(inputs.ARGUMENTS)}[event_id % {len(inputs.ARGUMENTS)} + 1] || '}}') AS args_json
+          FROM events)"""
+FILES = f"""
+files AS (SELECT page_id AS file_id,
+          'page ' || page_id || {sql_list([k[0] for k in inputs.FILE_KINDS])}[page_id % {inputs.FILE_STEP} + 1] AS file_name,
+          unhex({sql_list([k[1] for k in inputs.FILE_KINDS])}[page_id % {inputs.FILE_STEP} + 1]) || encode(html)
+          || unhex({sql_list([k[2].encode().hex() for k in inputs.FILE_KINDS])}[page_id % {inputs.FILE_STEP} + 1]) AS content
+          FROM pages)"""
+
+
+def _wide(s: str) -> str:
+    return "".join(("\\" + c if c in "/_" else c) + r"\x00" for c in s)
+
+
+def _byte_rule(strings, flag="") -> str:
+    return q(flag + "|".join([s for s in strings] + [_wide(s).replace("\\_", "_").replace("\\/", "/") for s in strings]))
+
+
+_HEXDIGIT = "(strpos('0123456789ABCDEF', substr(hx, {p}, 1)) - 1)"
+
+
+def _dword_sql(start: int) -> str:
+    """Little-endian value of the 4 bytes from a 0-based byte offset of `hx`."""
+    parts = []
+    for i in range(4):
+        hi, lo = 2 * (start + i) + 1, 2 * (start + i) + 2
+        parts.append(f"({_HEXDIGIT.format(p=hi)} * 16 + {_HEXDIGIT.format(p=lo)}) * {256 ** i}")
+    return "CAST(" + " + ".join(parts) + " AS BIGINT)"
+
+
+OFFICE = "('.docx', '.xlsx', '.pptx')"
+FILE_FACTS = f"""{FILES},
+facts AS (SELECT *, octet_length(content) AS size, hex(content) AS hx, decode(content) AS txt,
+          CASE WHEN regexp_matches(lower(file_name), '[^./][^/]*\\.[^./]*$')
+               THEN regexp_extract(lower(file_name), '\\.[^./]*$') ELSE '' END AS ext FROM files),
+checks AS (SELECT *,
+   ext IN ({', '.join(q(e) for e in fixed.BLOCKED_EXTENSIONS)}) AS blocked,
+   hx[1:4] = '4D5A' AS mz, hx[1:8] = '7F454C46' AS elf,
+   regexp_matches(txt, {_byte_rule(fixed.OFFICE_MACRO_STRINGS, '(?i)')}) OR regexp_matches(txt, {_byte_rule(fixed.OFFICE_MACRO_STRINGS_EXACT_CASE)}) AS macro,
+   hx[1:4] = '4D5A' AND size >= 64 AND substr(hx, 2 * {_dword_sql(60)} + 1, 8) = '50450000' AS pe,
+   regexp_matches(txt, {_byte_rule(fixed.PDF_ACTIVE_STRINGS, '(?i)')}) AS pdf_active,
+   size > 5 * 1024 * 1024 AS oversize,
+   CASE WHEN ext = '.pdf' THEN hx[1:8] <> '25504446' WHEN ext IN {OFFICE} THEN hx[1:8] <> '504B0304' ELSE false END AS mismatch,
+   CASE WHEN ext IN {OFFICE} AND hx[1:8] = '504B0304' THEN
+        len(regexp_extract_all(txt, '(?s)PK\\x01\\x02.{{42}}[ -~]*(?:vbaProject|[vV][bB][aA][ -~]*\\.bin)')) ELSE 0 END AS entries,
+   CASE WHEN ext = '.pdf' THEN NOT (hx[1:8] = '25504446' AND contains(txt, '%%EOF'))
+        WHEN ext IN {OFFICE} THEN NOT (hx[1:8] = '504B0304' AND contains(hx, '504B0506')) ELSE false END AS corrupt
+   FROM facts),
+labelled AS (SELECT *,
+   list_filter([CASE WHEN blocked THEN 'MALWARE_EXTENSION' END, CASE WHEN mz THEN 'EMBEDDED_PE_HEADER' END,
+     CASE WHEN elf THEN 'ELF_BINARY_HEADER' END, CASE WHEN macro THEN 'YARA_OFFICEMACROTRIGGER' END,
+     CASE WHEN pe THEN 'YARA_EXECUTABLEINDOCUMENT' END, CASE WHEN pdf_active THEN 'YARA_PDFMALICIOUSTRIGGERS' END],
+     lambda x: x IS NOT NULL) AS lab_malware,
+   list_concat(list_concat(list_filter([CASE WHEN oversize THEN 'ABNORMAL_FILE_SIZE' END,
+     CASE WHEN mismatch THEN 'MISMAPPED_MIME_TYPE' END], lambda x: x IS NOT NULL),
+     list_transform(range(entries), lambda x: 'VBA_MACRO_ARCHIVE')),
+     CASE WHEN corrupt THEN ['PARSER_STRUCTURE_CORRUPTION'] ELSE CAST([] AS VARCHAR[]) END) AS lab_sandbox
+   FROM checks)"""
+
+
+def file_scan(detector: fixed.Detector, unnamed: str) -> str:
+    score, confidence = scores(f"lab_{detector.key}", detector, zero=True)
+    return f"""{FILE_FACTS},
+captions AS (SELECT *, 'File: ' || CASE WHEN file_name = '' THEN {q(unnamed)} ELSE file_name END || '. Size: ' || size || ' bytes.' AS caption FROM labelled),
+{features('captions', 'caption')},
+scans AS (SELECT *, {score} AS s_{detector.key}, {confidence} AS c_{detector.key} FROM feat)"""
