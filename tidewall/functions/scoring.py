@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewall import fixed
+from tidewall.functions.plan import map_literal, text_literal
 from tidewall.functions.text import matched_tokens, squash
 
 
@@ -37,44 +38,38 @@ def places(value: Column, n: int) -> Column:
     return value.cast("decimal(28,8)").cast(f"decimal(28,{n})").cast("string")
 
 
-def _div(a: Column, b: int) -> Column:
-    return F.floor(a / F.lit(b)).cast("long")
-
-
-def score_clean(stats: Column) -> tuple[Column, Column]:
+def clean_sql(stats: str) -> tuple[str, str]:
     """(bp, pct) of a detector without labels."""
     raw = (
-        F.lit(1000)
-        + F.least(F.lit(2000), stats["symbols"] * 200)
-        + F.least(F.lit(2000), stats["chars"] * 5)
-        + (stats["sum_raw"] % 11) * 100
+        f"1000L + least(2000L, {stats}.symbols * 200) + least(2000L, {stats}.chars * 5) + ({stats}.sum_raw % 11) * 100"
     )
-    points = _div(F.least(F.lit(19000), raw) + 5, 10)
-    return points, (F.lit(88) + stats["sum_raw"] % 10).cast("long")
+    return f"((least(19000L, {raw}) + 5) div 10)", f"(88L + {stats}.sum_raw % 10)"
 
 
-def label_weight(labels: Column, detector: fixed.Detector) -> Column:
+def weight_sql(labels: str, detector: fixed.Detector) -> str:
     """Largest label weight; labels without an own weight take the detector's default."""
-    table = F.create_map(*[F.lit(x) for k, w in detector.weights.items() for x in (k, bp(w))])
-    default = F.lit(bp(detector.default_weight))
-    return F.array_max(F.transform(labels, lambda x: F.coalesce(F.try_element_at(table, x), default)))
+    default = bp(detector.default_weight)
+    if not detector.weights:
+        return str(default)
+    table = map_literal({k: bp(w) for k, w in detector.weights.items()})
+    return f"array_max(transform({labels}, x -> coalesce(try_element_at({table}, x), {default})))"
 
 
-def score_hit(stats: Column, labels: Column, detector: fixed.Detector) -> tuple[Column, Column]:
+def hit_sql(stats: str, labels: str, detector: fixed.Detector) -> tuple[str, str]:
     """(bp, pct) of a detector with labels, before fixed scores of very short payloads."""
-    n = F.size(labels)
-    percent = F.lit(85) + F.least(F.lit(8), n * 2) + stats["sum_low"] % 7
-    points = (
-        label_weight(labels, detector) * 6 / 10
-        + F.lit(bp(fixed.SEVERITY_VALUE[detector.severity]) * 4 // 10)
-        + F.least(F.lit(400), stats["symbols"] * 30)
-        + F.least(F.lit(400), stats["chars"])
-        + percent
-        + (stats["sum_low"] % 100) * 2
-        + F.least(F.lit(600), (n - 1) * 200)
+    percent = f"(85L + least(8, size({labels}) * 2) + {stats}.sum_low % 7)"
+    points = " + ".join(
+        [
+            f"{weight_sql(labels, detector)} * 6 div 10",
+            str(bp(fixed.SEVERITY_VALUE[detector.severity]) * 4 // 10),
+            f"least(400L, {stats}.symbols * 30)",
+            f"least(400L, {stats}.chars)",
+            percent,
+            f"({stats}.sum_low % 100) * 2",
+            f"least(600, (size({labels}) - 1) * 200)",
+        ]
     )
-    points = F.floor((F.greatest(F.lit(0), F.least(F.lit(10000), points)) + 50) / 100).cast("long") * 100
-    return points, percent.cast("long")
+    return f"(((greatest(0L, least(10000L, {points})) + 50) div 100) * 100)", percent
 
 
 OVERRIDE_REACH = max(limit for _, limit, _, _ in fixed.SCORE_OVERRIDES)
@@ -85,62 +80,57 @@ def squash_if_short(text: Column, stats: Column) -> Column:
     return F.when(stats["solid"] < OVERRIDE_REACH, squash(text))
 
 
-def override_exact(squashed: Column, solid: Column) -> Column:
+def override_exact(squashed: str, solid: str) -> Column:
     """STRUCT<bp, pct> of the fixed score of a very short payload, NULL where there is none.
 
     The first entry whose text occurs decides, even where the payload is too long for it: then there is none.
     """
-    chain = None
+    rows = []
     for texts, limit, score, confidence in fixed.SCORE_OVERRIDES:
-        found = F.contains(squashed, F.lit(texts[0]))
-        for other in texts[1:]:
-            found = found | F.contains(squashed, F.lit(other))
-        value = F.struct(
-            F.lit(bp(score)).cast("long").alias("bp"), F.lit(bp(confidence) // 100).cast("long").alias("pct")
-        )
-        result = F.when(solid < limit, value)
-        chain = F.when(found, result) if chain is None else chain.when(found, result)
-    return F.when(squashed.isNotNull(), chain)
+        found = " OR ".join(f"contains({squashed}, {text_literal(t)})" for t in texts)
+        value = f"named_struct('bp', {bp(score)}L, 'pct', {bp(confidence) // 100}L)"
+        rows.append(f"WHEN {found} THEN CASE WHEN {solid} < {limit} THEN {value} END")
+    return F.expr(f"CASE WHEN {squashed} IS NOT NULL THEN CASE {' '.join(rows)} END END")
 
 
 def with_override(df: DataFrame, text: str, stats: str, name: str = "_fix") -> DataFrame:
     """Add the fixed score struct of a text; it is the same for every detector of that text."""
     return df.withColumn(f"{name}_squash", squash_if_short(F.col(text), F.col(stats))).withColumn(
-        name, override_exact(F.col(f"{name}_squash"), F.col(stats)["solid"])
+        name, override_exact(f"{name}_squash", f"{stats}.solid")
     )
 
 
 def score_detector(
-    stats: Column, labels: Column, detector: fixed.Detector, fix: Column, clean_is_zero: bool = False
+    stats: str, labels: str, detector: fixed.Detector, fix: str, clean_is_zero: bool = False
 ) -> tuple[Column, Column]:
-    """(bp, pct): an empty text or a scanner with nothing to report is 0 / 100."""
-    clean_bp, clean_pct = (F.lit(0).cast("long"), F.lit(100).cast("long")) if clean_is_zero else score_clean(stats)
-    hit_bp, hit_pct = score_hit(stats, labels, detector)
-    empty, hit = stats["chars"] == 0, F.size(labels) > 0
-    return (
-        F.when(empty, F.lit(0).cast("long")).when(hit, F.coalesce(fix["bp"], hit_bp)).otherwise(clean_bp),
-        F.when(empty, F.lit(100).cast("long")).when(hit, F.coalesce(fix["pct"], hit_pct)).otherwise(clean_pct),
+    """(bp, pct) from column names: an empty text or a scanner with nothing to report is 0 / 100."""
+    clean = ("0L", "100L") if clean_is_zero else clean_sql(stats)
+    hit = hit_sql(stats, labels, detector)
+    return tuple(
+        F.expr(
+            f"CASE WHEN {stats}.chars = 0 THEN {nothing} WHEN size({labels}) > 0 THEN coalesce({fix}.{part}, {hit[n]}) "
+            f"ELSE {clean[n]} END"
+        )
+        for n, (part, nothing) in enumerate((("bp", "0L"), ("pct", "100L")))
     )
 
 
-def label_texts(labels: Column) -> Column:
+def label_texts_sql(labels: str) -> str:
     """Distinct human texts of labels, in first-seen order; a keyword suffix after ``:`` is dropped."""
-    table = F.create_map(*[F.lit(x) for pair in fixed.LABEL_TEXT.items() for x in pair])
-
-    def text(label: Column) -> Column:
-        name = F.substring_index(label, ":", 1)
-        return F.coalesce(F.try_element_at(table, name), F.concat(F.lit("Signature match ("), name, F.lit(")")))
-
-    return F.array_distinct(F.transform(labels, text))
+    name = "substring_index(x, ':', 1)"
+    return (
+        f"array_distinct(transform({labels}, x -> coalesce(try_element_at({map_literal(fixed.LABEL_TEXT)}, {name}), "
+        f"concat('Signature match (', {name}, ')'))))"
+    )
 
 
-def explain(text: Column, labels: Column, detector: fixed.Detector) -> Column:
-    """STRUCT of rule, tokens, evidence and reason of a detector that has labels."""
-    tokens = matched_tokens(text)
+def explain(text: str, labels: str, detector: fixed.Detector) -> Column:
+    """STRUCT of rule, tokens, evidence and reason of a detector that has labels; takes column names."""
+    tokens, listed = matched_tokens(text), F.col(labels)
     return F.struct(
-        F.try_element_at(labels, F.lit(1)).alias("matched_rule"),
+        F.try_element_at(listed, F.lit(1)).alias("matched_rule"),
         F.when(F.size(tokens) > 0, F.array_join(tokens, ", ")).otherwise("None").alias("matched_tokens"),
-        F.array_join(labels, ", ").alias("evidence"),
+        F.array_join(listed, ", ").alias("evidence"),
         reason(labels, detector).alias("reason"),
     )
 
@@ -154,11 +144,11 @@ CLEAN_REASONS = {
 }
 
 
-def reason(labels: Column, detector: fixed.Detector) -> Column:
+def reason(labels: str, detector: fixed.Detector) -> Column:
+    """Reason text of a label column."""
     clean = CLEAN_REASONS.get(detector.key, f"No threat signatures triggered for {detector.title}.")
-    return F.when(
-        F.size(labels) > 0,
-        F.concat(
-            F.lit(f"Detected {detector.title} indicators: "), F.array_join(label_texts(labels), ", "), F.lit(".")
-        ),
-    ).otherwise(clean)
+    start = text_literal(f"Detected {detector.title} indicators: ")
+    return F.expr(
+        f"CASE WHEN size({labels}) > 0 THEN concat({start}, array_join({label_texts_sql(labels)}, ', '), '.') "
+        f"ELSE {text_literal(clean)} END"
+    )

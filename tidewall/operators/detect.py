@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewall import fixed
 from tidewall.functions.dialect import fold, fold_lower, java_pattern
-from tidewall.functions.plan import pinned
+from tidewall.functions.plan import pinned, text_literal
 from tidewall.functions.text import SEEN_BITS, text_profile
 
 _OVERRIDE_VERBS = (
@@ -189,17 +189,23 @@ def with_profile(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_profile", pinned(text_profile(text, _FOLDED, _LOWERED, RAW_LITERALS, ("nc",))))
 
 
-def seen(mode: str, literals: tuple[str, ...]) -> Column:
+def seen_sql(mode: str, literals: tuple[str, ...]) -> str:
     """True where any of the literals occurs in the folded / lower / raw form of the profiled text."""
     masks: dict[int, int] = {}
     for literal in literals:
         word, bit = divmod(_BIT[mode, literal], SEEN_BITS)
         masks[word] = masks.get(word, 0) | (1 << bit)
-    test = None
-    for word, mask in sorted(masks.items()):
-        one = F.col("_profile")["seen"][word].bitwiseAND(F.lit(mask)) != 0
-        test = one if test is None else test | one
-    return test
+    return "(" + " OR ".join(f"(_profile.seen[{w}] & {m}L) <> 0" for w, m in sorted(masks.items())) + ")"
+
+
+def seen(mode: str, literals: tuple[str, ...]) -> Column:
+    return F.expr(seen_sql(mode, literals))
+
+
+def gate_sql(groups: tuple[tuple[str, ...], ...]) -> str:
+    return " AND ".join(
+        seen_sql("word", ("nc",)) if group is _WORD_NC else seen_sql("fold", group) for group in groups
+    )
 
 
 def with_text_forms(df: DataFrame, text: str, gates=None) -> DataFrame:
@@ -208,56 +214,44 @@ def with_text_forms(df: DataFrame, text: str, gates=None) -> DataFrame:
     NULL where no gate of ``gates`` (default: all) opens, so that clean rows are not rewritten.
     """
     out = with_profile(df, text)
-    rows = [groups for g in (GATES if gates is None else gates).values() for groups in g]
-    some = None
-    for groups in dict.fromkeys(rows):
-        some = _gate(groups) if some is None else some | _gate(groups)
+    rows = dict.fromkeys(groups for g in (GATES if gates is None else gates).values() for groups in g)
+    some = " OR ".join(f"({gate_sql(groups)})" for groups in rows)
     original = F.coalesce(F.col(text), F.lit(""))
     return (
-        out.withColumn("_lower", F.when(some, F.lower(original)))
+        out.withColumn("_lower", F.when(F.expr(some), F.lower(original)))
         .withColumn("_flower", fold_lower(F.col("_lower")))
         .withColumn("_fold", fold(original, F.col("_flower")))
     )
 
 
-def _gate(groups: tuple[tuple[str, ...], ...]) -> Column:
-    gate = None
-    for group in groups:
-        test = seen("word", ("nc",)) if group is _WORD_NC else seen("fold", group)
-        gate = test if gate is None else gate & test
-    return gate
-
-
-def pattern_hits(family_label: str, patterns: tuple[str, ...], text_mode: str, raw: Column) -> list[Column]:
-    """One boolean per pattern of a family, after `with_text_forms`."""
+def hit_sql(pattern: str, groups: tuple[tuple[str, ...], ...], text_mode: str, raw: str) -> str:
+    """Condition of one pattern, after `with_text_forms`: gate first, then the pattern."""
     source, folded = {
-        "any": (F.col("_fold"), True),
-        "lower": (F.col("_flower"), True),
-        "lower_raw": (F.col("_lower"), False),
-        "raw": (raw, False),
+        "any": ("_fold", True), "lower": ("_flower", True), "lower_raw": ("_lower", False), "raw": (raw, False),
     }[text_mode]
-    return [
-        _gate(groups) & F.rlike(source, F.lit(java_pattern(p, folded)))
-        for p, groups in zip(patterns, GATES[family_label], strict=True)
-    ]
+    return f"({gate_sql(groups)} AND rlike({source}, {text_literal(java_pattern(pattern, folded))}))"
 
 
-def rule_labels(detector: fixed.Detector, raw: Column) -> Column:
+def rule_labels(detector: fixed.Detector, raw: str) -> Column:
     """Labels of one text detector in rule order, with repeats."""
-    labels = []
+    rows = []
     for family in detector.families:
-        hits = pattern_hits(family.label, family.patterns, family.text, raw)
-        if family.label == "REVERSE_SHELL_PAYLOAD":
-            hits = [seen("lower", (fixed.REVERSE_SHELL_LITERAL,)) | h for h in hits]
-        labels += [F.when(h, F.lit(family.label)) for h in hits]
-        labels += [F.when(seen("lower", (k,)), F.lit(f"{family.keyword_label}:{k}")) for k in family.keywords]
-    return F.array_compact(F.array(*labels))
+        for pattern, groups in zip(family.patterns, GATES[family.label], strict=True):
+            hit = hit_sql(pattern, groups, family.text, raw)
+            if family.label == "REVERSE_SHELL_PAYLOAD":
+                hit = f"({seen_sql('lower', (fixed.REVERSE_SHELL_LITERAL,))} OR {hit})"
+            rows.append((hit, family.label))
+        rows += [(seen_sql("lower", (k,)), f"{family.keyword_label}:{k}") for k in family.keywords]
+    cases = ", ".join(f"CASE WHEN {hit} THEN {text_literal(label)} END" for hit, label in rows)
+    return F.expr(f"array_compact(array({cases}))")
 
 
 def with_labels(df: DataFrame, text: str, detectors=fixed.TEXT_RULE_DETECTORS) -> DataFrame:
     """Add `labels_<key>` for each rule detector; expects `with_text_forms`."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({f"labels_{d.key}": pinned(rule_labels(d, raw)) for d in detectors}).drop("_fold", "_flower", "_lower")
+    raw = f"coalesce(`{text}`, '')"
+    return df.withColumns({f"labels_{d.key}": pinned(rule_labels(d, raw)) for d in detectors}).drop(
+        "_fold", "_flower", "_lower"
+    )
 
 
 def detect(df: DataFrame, text: str, detector: fixed.Detector) -> DataFrame:
@@ -272,15 +266,16 @@ def detect(df: DataFrame, text: str, detector: fixed.Detector) -> DataFrame:
     else:
         out = with_text_forms(out, text, {f.label: GATES[f.label] for f in detector.families})
         out = with_labels(out, text, (detector,))
-    labels = F.col(f"labels_{detector.key}")
+    name = f"labels_{detector.key}"
+    labels = F.col(name)
     out = with_override(out, text, "_profile")
     points, percent = score_detector(
-        F.col("_profile"), labels, detector, F.col("_fix"), clean_is_zero=detector is fixed.SENSITIVE
+        "_profile", name, detector, "_fix", clean_is_zero=detector is fixed.SENSITIVE
     )
     return out.select(
         *keep,
         pinned(labels).alias("labels"),
         pinned(as_score(points)).alias("score"),
         pinned(as_confidence(percent)).alias("confidence"),
-        pinned(reason(labels, detector)).alias("reason"),
+        pinned(reason(name, detector)).alias("reason"),
     )

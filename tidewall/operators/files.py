@@ -162,14 +162,14 @@ def scan_files(df: DataFrame, content: str, name: str, detector: fixed.Detector)
     out = out.withColumn("_caption", F.when(F.size("labels") > 0, file_caption(content, name, unnamed)))
     out = out.withColumn("_stats", F.when(F.size("labels") > 0, short_text_stats("_caption")))
     out = with_override(out, "_caption", "_stats")
-    points, percent = score_detector(F.col("_stats"), F.col("labels"), detector, F.col("_fix"), True)
+    points, percent = score_detector("_stats", "labels", detector, "_fix", True)
     nothing = F.size("labels") == 0
     return out.select(
         *keep,
         pinned("labels").alias("labels"),
         pinned(as_score(F.when(nothing, F.lit(0)).otherwise(points))).alias("score"),
         pinned(as_confidence(F.when(nothing, F.lit(100)).otherwise(percent))).alias("confidence"),
-        pinned(reason(F.col("labels"), detector)).alias("reason"),
+        pinned(reason("labels", detector)).alias("reason"),
     )
 
 

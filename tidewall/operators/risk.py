@@ -136,19 +136,19 @@ def with_scores(
 
     scored: dict[str, Column] = {}
     for d in fixed.DETECTORS + tuple(e.rules for e in extra):
-        labels = F.col(f"labels_{d.key}")
+        labels = f"labels_{d.key}"
         if d in (fixed.MALWARE, fixed.SANDBOX):
             if content is None:
                 points, percent = F.lit(0).cast("long"), F.lit(100).cast("long")
             else:
                 points, percent = score_detector(
-                    F.col(f"_stats_{d.key}"), labels, d, F.col(f"_fix_{d.key}"), clean_is_zero=True
+                    f"_stats_{d.key}", labels, d, f"_fix_{d.key}", clean_is_zero=True
                 )
                 nothing = F.size(labels) == 0
                 points, percent = F.when(nothing, F.lit(0)).otherwise(points), F.when(nothing, F.lit(100)).otherwise(percent)
         else:
             points, percent = score_detector(
-                F.col("_profile"), labels, d, F.col("_fix"), clean_is_zero=d is fixed.SENSITIVE
+                "_profile", labels, d, "_fix", clean_is_zero=d is fixed.SENSITIVE
             )
         scored[f"bp_{d.key}"], scored[f"pct_{d.key}"] = points.cast("long"), percent.cast("long")
     out = out.withColumns(scored)
@@ -188,9 +188,9 @@ def screen(
                 as_confidence(F.col(f"pct_{d.key}")).alias("confidence"),
                 F.col(f"labels_{d.key}").alias("matched"),
                 (
-                    reason(F.col(f"labels_{d.key}"), d)
+                    reason(f"labels_{d.key}", d)
                     if d in (fixed.MALWARE, fixed.SANDBOX)
-                    else F.when(empty, F.lit(EMPTY_REASON)).otherwise(reason(F.col(f"labels_{d.key}"), d))
+                    else F.when(empty, F.lit(EMPTY_REASON)).otherwise(reason(f"labels_{d.key}", d))
                 ).alias("reason"),
             )
             for d in detectors

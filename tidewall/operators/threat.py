@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewall import fixed
-from tidewall.functions.dialect import java_pattern
 from tidewall.functions.plan import pinned
 from tidewall.functions.scoring import places
-from tidewall.operators.detect import GATES, seen, with_text_forms
+from tidewall.operators.detect import GATES, hit_sql, seen, seen_sql, with_text_forms
 
 # necessary literals of the classifier's own patterns, as in `detect.GATES`
 _CLASSIFIER_GATES = {
     "REVERSE_SHELL_PAYLOAD": GATES["REVERSE_SHELL_PAYLOAD"][:10],
-    "COMMAND_INJECTION_TRIGGER": ((("rm", ), ("-",)), (("sudo",),)) + GATES["COMMAND_INJECTION_TRIGGER"],
+    "COMMAND_INJECTION_TRIGGER": ((("-",),), (("sudo",),)) + GATES["COMMAND_INJECTION_TRIGGER"],
     "SQL_INJECTION": (
         (("union",), ("select",)),
         (("select",), ("users",)),
@@ -26,28 +25,17 @@ _CLASSIFIER_GATES = {
 }
 
 
-def _hit_count(finding: str, patterns: tuple[str, ...], literals: tuple[str, ...]) -> Column:
+def _hit_count(finding: str, patterns: tuple[str, ...], literals: tuple[str, ...], gates) -> Column:
     """How often a group reports: once per pattern, or once if any literal occurs."""
     if literals:
         return seen("lower", literals).cast("int")
-    hits = []
-    for pattern, groups in zip(patterns, _CLASSIFIER_GATES[finding], strict=True):
-        gate = None
-        for group in groups:
-            if group == ("rm",):
-                continue  # too common to be worth a test
-            gate = seen("fold", group) if gate is None else gate & seen("fold", group)
-        # the statement group is matched on lower-cased text as it is, the others ignore case
-        folded = finding != "SQL_INJECTION"
-        text = F.col("_fold") if folded else F.col("_lower")
-        hit = gate & F.rlike(text, F.lit(java_pattern(pattern, folded)))
-        if finding == "REVERSE_SHELL_PAYLOAD":
-            hit = seen("lower", (fixed.REVERSE_SHELL_LITERAL,)) | hit
-        hits.append(hit.cast("int"))
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return total
+    # the statement group is matched on lower-cased text as it is, the others ignore case
+    mode = "lower_raw" if finding == "SQL_INJECTION" else "any"
+    hits = [hit_sql(p, groups, mode, "") for p, groups in zip(patterns, gates[finding], strict=True)]
+    if finding == "REVERSE_SHELL_PAYLOAD":
+        literal = seen_sql("lower", (fixed.REVERSE_SHELL_LITERAL,))
+        hits = [f"({literal} OR {h})" for h in hits]
+    return F.expr(" + ".join(f"cast(coalesce({h}, false) AS int)" for h in hits))
 
 
 def classify_threat(df: DataFrame, text: str) -> DataFrame:
@@ -57,10 +45,9 @@ def classify_threat(df: DataFrame, text: str) -> DataFrame:
     the types they name.
     """
     keep = df.columns
-    gates = {k: tuple(tuple(g for g in groups if g != ("rm",)) for groups in rows) for k, rows in _CLASSIFIER_GATES.items()}
-    out = with_text_forms(df, text, gates)
+    out = with_text_forms(df, text, _CLASSIFIER_GATES)
     for n, (finding, patterns, literals, *_rest) in enumerate(fixed.CLASSIFIER):
-        out = out.withColumn(f"_n{n}", _hit_count(finding, patterns, literals))
+        out = out.withColumn(f"_n{n}", _hit_count(finding, patterns, literals, _CLASSIFIER_GATES))
     start_risk, start_type, start_severity = fixed.CLASSIFIER_START
     risk = [F.lit(Decimal(start_risk)).cast("decimal(3,2)")]
     kind, severity, found = F.lit(start_type), F.lit(start_severity), []

@@ -91,7 +91,7 @@ FROM said WHERE len(lab) > 0""",
 )
 def explain_matches(spark, sf_dir):
     hits = detect(inputs.prompts(spark, sf_dir), "prompt", fixed.JAILBREAK).filter(F.size("labels") > 0)
-    return hits.select("prompt_id", explain(F.col("prompt"), F.col("labels"), fixed.JAILBREAK).alias("x")).select(
+    return hits.select("prompt_id", explain("prompt", "labels", fixed.JAILBREAK).alias("x")).select(
         "prompt_id", "x.*"
     )
 
@@ -262,7 +262,7 @@ def verdict_by_quality_label(spark, sf_dir):
     "registered_detector",
     f"""WITH {oracle.PROMPTS}, {oracle.features('prompts')},
 l AS (SELECT *, list_filter([CASE WHEN regexp_matches(prompt, 'umbrella') THEN 'UMBRELLA' END,
-      CASE WHEN regexp_matches(prompt, '(?i)\\bqueen\\b') THEN 'QUEEN' END], lambda x: x IS NOT NULL) AS lab FROM feat),
+      CASE WHEN regexp_matches(plain, '(?i)\\bqueen\\b') THEN 'QUEEN' END], lambda x: x IS NOT NULL) AS lab FROM feat),
 s AS (SELECT *, {{score}} AS sc FROM l)
 SELECT prompt_id, array_to_string(lab, '|') AS labels, CAST(sc AS DOUBLE) AS score FROM s""".replace(
         "{score}",

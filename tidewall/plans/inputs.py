@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewall.functions.plan import text_literal
 from tidewall.sources.prompts import spread
 
 # Own wording: hits, near misses and mixed cases for every rule family.
@@ -132,7 +133,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _line(key: str, lines: tuple[str, ...], step: int):
-    return F.try_element_at(F.array(*[F.lit(x) for x in lines]), (F.col(key) % step + 1).cast("int"))
+    listed = ", ".join(text_literal(x) for x in lines)
+    return F.expr(f"try_element_at(array({listed}), cast({key} % {step} + 1 AS int))")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +285,11 @@ STATUSES = ("approved", "REJECTED", "Approved", "later")
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as review decisions: several per ticket, bad status texts, unknown tickets."""
-    return table(spark, sf_dir, "events").select(
+    return as_decisions(table(spark, sf_dir, "events"))
+
+
+def as_decisions(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("decision_id"),
         (F.col("event_id") - F.col("event_id") % 3).alias("approval_id"),
         F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (F.col("event_id") % 4 + 1).cast("int")).alias("status"),

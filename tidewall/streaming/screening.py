@@ -35,12 +35,37 @@ def risk_by_day_stream(logs: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def decisions_stream(decisions: DataFrame, within: str = "7 days") -> DataFrame:
-    """First valid decision per ticket within the watermark; later ones for the same ticket are dropped."""
+def decisions_sink(decisions: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writer that keeps the first valid decision per ticket.
+
+    Within a micro-batch the earliest decision wins, across batches the one that came first.  A batch writes only its
+    own partition and reads only earlier ones, so a batch that is replayed gives the same result.
+    """
+
+    def store(rows: DataFrame, batch_id: int) -> None:
+        first = first_decisions(rows)
+        spark = rows.sparkSession
+        if batch_id > 0:
+            earlier = spark.read.schema(DECIDED_SCHEMA).parquet(path).filter(F.col("batch") < batch_id)
+            first = first.join(earlier.select("approval_id"), "approval_id", "left_anti")
+        (
+            first.withColumn("batch", F.lit(batch_id))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        )
+
+    return decisions.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+
+
+DECIDED_SCHEMA = (
+    "approval_id bigint, decision_id bigint, status string, reviewer_id string, review_notes string, "
+    "ts timestamp, batch int"
+)
+
+
+def first_decisions(decisions: DataFrame) -> DataFrame:
+    """Earliest valid decision of each ticket; a minimum, so hot tickets are combined before the shuffle."""
     valid = F.upper("status").isin("APPROVED", "REJECTED") & F.length("reviewer_id").between(1, 100)
-    return (
-        decisions.filter(valid)
-        .withColumn("status", F.upper("status"))
-        .withWatermark("ts", within)
-        .dropDuplicatesWithinWatermark(["approval_id"])
+    row = F.struct("ts", "decision_id", F.upper("status").alias("status"), "reviewer_id", "review_notes")
+    return decisions.filter(valid).groupBy("approval_id").agg(F.min(row).alias("d")).select(
+        "approval_id", "d.decision_id", "d.status", "d.reviewer_id", "d.review_notes", "d.ts"
     )
