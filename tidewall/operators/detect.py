@@ -21,7 +21,7 @@ _OVERRIDE_VERBS = (
 )
 _CONFIG_NOUNS = ("prompt", "instruction", "rule", "guideline", "directive", "parameter", "variable", "message", "config")
 _QUOTES = ("'", '"')
-_WORD_NC = ("nc",)  # as a word of its own: the two letters alone occur in half of all texts
+_WORD_NC = ("word nc",)  # as a word of its own: the two letters alone occur in half of all texts
 
 # label -> per pattern: groups of literals, at least one literal of every group must occur in the folded text
 GATES: dict[str, tuple[tuple[tuple[str, ...], ...], ...]] = {
@@ -162,7 +162,7 @@ REDACTION_WORDS = ("passport", "begin private key", "begin rsa private key")
 
 _FOLDED = tuple(
     dict.fromkeys(
-        [lit for rows in GATES.values() for groups in rows for g in groups for lit in g if g is not _WORD_NC]
+        [lit for rows in GATES.values() for groups in rows for g in groups for lit in g if g != _WORD_NC]
         + [*KEY_WORDS]
     )
 )
@@ -204,7 +204,7 @@ def seen(mode: str, literals: tuple[str, ...]) -> Column:
 
 def gate_sql(groups: tuple[tuple[str, ...], ...]) -> str:
     return " AND ".join(
-        seen_sql("word", ("nc",)) if group is _WORD_NC else seen_sql("fold", group) for group in groups
+        seen_sql("word", ("nc",)) if group == _WORD_NC else seen_sql("fold", group) for group in groups
     )
 
 

@@ -370,7 +370,7 @@ def match_signatures_query(spark, sf_dir):
 
 @query("match_signatures_in_cells", _MATCH_SQL)
 def match_signatures_in_cells(spark, sf_dir):
-    m = match_signatures(_vectors(spark, sf_dir), _signatures(spark, sf_dir), matrix_bytes=16_000, block=64)
+    m = match_signatures(_vectors(spark, sf_dir), _signatures(spark, sf_dir), matrix_bytes=64_000, block=256)
     return m.withColumn("similarity", F.round("similarity", 6))
 
 
