@@ -224,7 +224,7 @@ def risk_band_counts(spark, sf_dir):
 
 @query(
     "compliance_rollup",
-    f"""WITH {oracle.screened()}, rep AS (SELECT action, lower(concat_ws(' ', session_id, action, reasoning, array_to_string(findings, ', '))) AS t FROM screened)
+    f"""WITH {oracle.screened()}, rep AS MATERIALIZED (SELECT action, lower(concat_ws(' ', session_id, action, reasoning, array_to_string(findings, ', '))) AS t FROM screened)
 SELECT action, NOT (contains(t, 'block') OR contains(t, 'human_review')) AS compliance_passed,
        CASE WHEN contains(t, 'block') THEN 'BLOCKED' WHEN contains(t, 'human_review') THEN 'HELD FOR REVIEW' ELSE 'APPROVED' END AS status_label,
        contains(t, 'block') OR contains(t, 'human_review') OR contains(t, 'pii') AS alert_triggered, count(*) AS n

@@ -207,10 +207,10 @@ def screened(prompts: str = PROMPTS, reasons: bool = False) -> str:
         parts += [f"CAST(0 AS DECIMAL(9,4)) AS s_{d.key}", f"CAST(1 AS DECIMAL(9,4)) AS c_{d.key}"]
     return f"""{prompts}, {features('prompts')},
 {redaction('prompts', 'prompt', fixed.REDACTION, 'prompt_id')},
-hits AS (SELECT feat.*, masked, entities AS lab_sensitive, {label_cols}, CAST([] AS VARCHAR[]) AS lab_malware,
+hits AS MATERIALIZED (SELECT feat.*, masked, entities AS lab_sensitive, {label_cols}, CAST([] AS VARCHAR[]) AS lab_malware,
          CAST([] AS VARCHAR[]) AS lab_sandbox
          FROM feat JOIN redacted USING (prompt_id)),
-scored AS (SELECT *, {', '.join(parts)} FROM hits),
+scored AS MATERIALIZED (SELECT *, {', '.join(parts)} FROM hits),
 {composite('scored', reasons)}"""
 
 
@@ -231,12 +231,12 @@ def composite(source: str, reasons: bool) -> str:
     ]
     assert abs(total - 2.0) < 1e-9
     case = lambda i: "CASE " + " ".join(f"WHEN risk >= {r[0]} THEN {q(r[i])}" for r in v[:-1]) + f" ELSE {q(v[-1][i])} END"
-    return f"""parts AS (SELECT *, {top} AS top, CAST({mean} AS DECIMAL(18,6)) AS weighted, {triggered} AS triggered,
+    return f"""parts AS MATERIALIZED (SELECT *, {top} AS top, CAST({mean} AS DECIMAL(18,6)) AS weighted, {triggered} AS triggered,
                  {found} AS found{texts} FROM {source}),
-risks AS (SELECT *, CASE WHEN top > 0 THEN CAST(least(1.0, round(
+risks AS MATERIALIZED (SELECT *, CASE WHEN top > 0 THEN CAST(least(1.0, round(
             CAST(top AS DECIMAL(38,16)) + CAST((1 - top) * (weighted * 0.5) AS DECIMAL(30,14)) * (CASE WHEN triggered > 0 THEN 0.20 ELSE 0.18 END)
             + (len(found) % 100) * 0.0002, 4)) AS DECIMAL(9,4)) ELSE CAST(0 AS DECIMAL(9,4)) END AS risk FROM parts),
-screened AS (SELECT *, {case(1)} AS action, {case(2)} AS severity,
+screened AS MATERIALIZED (SELECT *, {case(1)} AS action, {case(2)} AS severity,
             replace({case(3)}, '%s', CAST(CAST(round(risk, 2) AS DECIMAL(5,2)) AS VARCHAR)) AS reasoning,
             list_sort(list_distinct(found)) AS findings,
             [{', '.join(rows)}] AS results

@@ -42,8 +42,18 @@ def load_prompts(spark: SparkSession, path: str, streaming: bool = False, schema
 
 
 def decode_attachment(encoded: Column | str) -> Column:
-    """Base64 text to bytes; text that cannot be decoded means no file."""
-    return F.try_to_binary(F.col(encoded) if isinstance(encoded, str) else encoded, F.lit("base64"))
+    """Base64 text to bytes; text that cannot be decoded means no file.
+
+    Characters outside the alphabet are skipped, but the padding must be complete: Spark's own decoder is more lenient.
+    """
+    text = F.col(encoded) if isinstance(encoded, str) else encoded
+    kept = F.regexp_replace(text, "[^A-Za-z0-9+/=]", "")
+    digits = F.regexp_extract(kept, "^([A-Za-z0-9+/]*)(=*)", 1)
+    padding = F.length(F.regexp_extract(kept, "^([A-Za-z0-9+/]*)(=*)", 2))
+    rest = F.length(digits) % 4
+    complete = (rest == 0) | ((rest == 2) & (padding >= 2)) | ((rest == 3) & (padding >= 1))
+    padded = F.concat(digits, F.repeat(F.lit("="), (4 - rest) % 4))
+    return F.when(complete, F.try_to_binary(padded, F.lit("base64")))
 
 
 def load_attachments(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
