@@ -9,9 +9,12 @@ from tidewall.functions.scoring import places
 
 
 def parse_ts(text: Column | str) -> tuple[Column, Column]:
-    """(timestamp, parsed flag) of ISO text with an optional Z; bad text gives NULL and a false flag."""
+    """(wall-clock timestamp, parsed flag) of ISO text with an optional Z; bad text gives NULL and a false flag.
+
+    The time is the one the text shows, whatever the session's time zone.
+    """
     t = F.col(text) if isinstance(text, str) else text
-    value = F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00"))
+    value = F.regexp_replace(t, "Z$", "").try_cast("timestamp_ntz")
     return value, value.isNotNull()
 
 

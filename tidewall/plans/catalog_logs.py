@@ -266,7 +266,7 @@ def parse_ts(spark, sf_dir):
         F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k == 0, "Z").when(k == 1, "").otherwise(" noon")).alias("text"),
     )
     value, ok = kpi.parse_ts("text")
-    return e.select("event_id", value.cast("timestamp_ntz").alias("parsed"), ok.alias("ok"))
+    return e.select("event_id", value.alias("parsed"), ok.alias("ok"))
 
 
 # ------------------------------------------------------------------------------------------------ tool calls
@@ -598,7 +598,8 @@ def decisions_stream(spark, sf_dir):
 @query("risk_by_day_stream", f"WITH {LOGS} SELECT CAST(ts AS DATE) AS day, avg(risk) AS mean_risk, count(*) AS n FROM logs GROUP BY ALL")
 def risk_by_day_stream_query(spark, sf_dir):
     rows = _read_stream(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), ((F.round(F.col("value") * 100).cast("long") % 10000) / 10000).alias("risk")
+        F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"),
+        ((F.round(F.col("value") * 100).cast("long") % 10000) / 10000).alias("risk")
     )
     # complete mode: the days so far, open ones included, replace the table at every batch
     out, folder = risk_by_day_stream(rows), _scratch(spark)

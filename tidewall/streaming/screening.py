@@ -26,12 +26,12 @@ def audit_sink(prompts: DataFrame, path: str, checkpoint: str, **audit) -> DataS
 
 
 def risk_by_day_stream(logs: DataFrame, late: str = "1 day") -> DataFrame:
-    """Mean risk per day; rows later than the watermark are dropped."""
+    """Mean risk per UTC day; rows later than the watermark are dropped."""
     return (
         logs.withWatermark("ts", late)
         .groupBy(F.window("ts", "1 day").alias("w"))
         .agg(F.avg(F.col("risk").cast("double")).alias("mean_risk"), F.count("*").alias("n"))
-        .select(F.to_date("w.start").alias("day"), "mean_risk", "n")
+        .select(F.to_date(F.to_utc_timestamp("w.start", F.current_timezone())).alias("day"), "mean_risk", "n")
     )
 
 
