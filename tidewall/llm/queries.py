@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import bpe, digest, mixing, simhash, tokencount, tokenfile, toxicity, warc
+from tidewall.llm import ann, bpe, digest, mixing, simhash, suffix, tokencount, tokenfile, toxicity, warc
 from tidewall.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,11 @@ def warc_round_trip(spark, sf_dir):
     return warc.read_archives(archives).drop("payload", "url")
 
 
+@query("op7_nearest")
+def nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_digest")
 def quartile_digest(spark, sf_dir):
     return digest.fingerprints(table(spark, sf_dir, "documents"))
@@ -103,3 +108,8 @@ def toxicity_scores(spark, sf_dir):
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
