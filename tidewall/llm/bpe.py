@@ -347,24 +347,35 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", tex
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (`doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256`): encodes and decodes each whole text in one pass."""
+def round_trip(
+    docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", text: str = "text", keep_ids: bool = False
+) -> DataFrame:
+    """Rows (`doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256`): encodes and decodes each whole text in one pass.
+
+    With `keep_ids` also `ids`, little-endian unsigned 32-bit integers.
+    """
+    more = ", ids binary" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(ranks, pattern)
         for batch in batches:
-            counts, of_ids, of_text = [], [], []
+            counts, of_ids, of_text, kept = [], [], [], []
             for raw in utf8(batch.column(1)):
                 ids = encoder.encode(raw.decode())
                 digest = hashlib.sha256()
                 for piece in decode_stream(memoryview(ids).cast("I") if ids else (), encoder.bytes_of):
                     digest.update(piece.encode())
                 counts.append(len(ids) // 4)
+                if keep_ids:
+                    kept.append(ids)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_text.append(digest.hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

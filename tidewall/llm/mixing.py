@@ -22,6 +22,7 @@ from tidewall.llm.common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 CELL_BITS = 12
 LEVELS = 3
+WEIGHTS = (1.0, 2.0, 3.0)
 
 
 def word_count(text: Column) -> Column:
@@ -56,22 +57,14 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     return sources.withColumn("_target", share.cast("double"))
 
 
-def mix(
-    docs: DataFrame,
-    *,
-    id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
-    share: float = 1.0,
-    max_epochs: float = 3.0,
-    seed: int = 42,
-) -> DataFrame:
-    """Rows (`doc_id`, `source`, `size`, `source_size`, `target`, `repeats`, `taken`), one per row of `docs`."""
+def plan(
+    docs: DataFrame, id: str, text: str, source: str, weights: tuple[float, ...], share: float, max_epochs: float, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """Sizes of the documents (`doc_id`, `source`, `size`, `_hash`), and for each source its target, whole epochs and cut."""
     sized = stored(
         docs.select(
             F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id).cast("string"), F.col(source)).alias("_hash"),
+            _hash(id, source, seed).alias("_hash"),
         ),
         "mix-sizes",
     )
@@ -83,23 +76,65 @@ def mix(
     epochs = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(F.lit(0.0))
     # An epoch a hair below a whole number is that number, else rounding would take none a third time.
     whole = F.floor(epochs + F.lit(1e-9))
-    plan = stored(
+    filled = stored(
         targets.withColumn("_whole", whole)
         .withColumn("_rest", F.greatest(F.col("_target") - F.col("_whole") * F.col("_words"), F.lit(0.0))),
         "mix-plan",
     )
-    bounds = _cut(sized, plan)
-    same = F.col("source").eqNullSafe(F.col("_source"))
+    return sized, _cut(sized, filled)
+
+
+def _hash(id: str, source: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id).cast("string"), F.col(source))
+
+
+def _repeats(hashed: Column) -> Column:
+    extra = F.when(_position(hashed) < F.col("_cut"), 1).otherwise(0)
+    return (F.col("_whole") + extra).cast("long")
+
+
+def mix(
+    docs: DataFrame,
+    *,
+    id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.0,
+    max_epochs: float = 3.0,
+    seed: int = 42,
+) -> DataFrame:
+    """Rows (`doc_id`, `source`, `size`, `source_size`, `target`, `repeats`, `taken`), one per row of `docs`."""
+    sized, bounds = plan(docs, id, text, source, weights, share, max_epochs, seed)
     # One row per source: broadcast where Spark proves it small, else a join that splits a hot source.
-    out = sized.join(bounds, same, "left")
-    extra = F.when(_position(F.col("_hash")) < F.col("_cut"), 1).otherwise(0)
-    repeats = (F.col("_whole") + extra).cast("long")
+    out = sized.join(bounds, F.col("source").eqNullSafe(F.col("_source")), "left")
+    repeats = _repeats(F.col("_hash"))
     return out.select(
         "doc_id", "source", "size", F.col("_words").cast("long").alias("source_size"), F.col("_target").alias("target"),
         repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"),
     )
 
 
+def mixture(
+    docs: DataFrame,
+    *,
+    id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.0,
+    max_epochs: float = 3.0,
+    seed: int = 42,
+) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`."""
+    _, bounds = plan(docs, id, text, source, weights, share, max_epochs, seed)
+    bounds = bounds.select("_source", "_whole", "_cut")
+    joined = docs.join(bounds, F.col(source).eqNullSafe(F.col("_source")))
+    times = joined.withColumn("_times", _repeats(_hash(id, source, seed))).where("_times > 0")
+    repeated = times.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return repeated.select(*docs.columns)
+
+
 def _position(hashed: Column) -> Column:
     """The leading bits of the hash as a number from 0; a document is in the fraction if it lies below the cut."""
     return F.shiftrightunsigned(hashed, 64 - CELL_BITS * LEVELS)

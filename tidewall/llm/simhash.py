@@ -32,6 +32,8 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 BLOCK = 1024
+HOT = 1000
+SALTS = 16
 _CHUNK = 1 << 15
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -67,12 +69,16 @@ def bit_counts(values: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (`doc_id`, `fp`): the fingerprint as a signed long.  No shuffle."""
 
+    return docs.select(F.col(id).cast("long").alias("doc_id"), _marker()(F.col(text).cast("string")).alias("fp"))
+
+
+def _marker():
     @F.arrow_udf("bigint")
     def run(column: pa.Array) -> pa.Array:
         values = np.fromiter((fingerprint(raw) for raw in utf8(column)), np.uint64, len(column))
         return pa.array(values.view(np.int64))
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), run(F.col(text).cast("string")).alias("fp"))
+    return run
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -118,8 +124,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     pairs = within.union(near)
-    if spread:
-        pairs = pairs.repartition(spread)  # crowded blocks come out of a join side by side
+    pairs = pairs.repartition(spread)  # crowded blocks come out of a join side by side
     return pairs.mapInArrow(verify, "a long, b long").distinct()
 
 
@@ -128,7 +133,6 @@ def _forest(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[in
     if len(left) == 1 and len(right) == 1:
         x, y = int(left[0]), int(right[0])
         return [(x, y)] if x != y and (x ^ y).bit_count() <= distance else []
-    names = np.concatenate([left, right])
     parent = {}
 
     def root(x: int) -> int:
@@ -146,23 +150,50 @@ def _forest(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[in
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((x, y))
-    return out if len(names) else []
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """Rows (`doc_id`, `fingerprint`, `component_id`), one for each row of `docs`."""
+    """Rows (`doc_id`, `fingerprint`, `component_id`, `group`), one for each row of `docs`.
+
+    `group` names the component by its smallest fingerprint, also where no document of it has an id.
+    """
     marked = stored(fingerprints(docs, id=id, text=text), "simhash-fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     found = components(links(distinct.select("fp"), distance))
     grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = grouped.select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    grouped = grouped.select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = grouped.join(smallest, "component").select("fp", "component_id")
-    # Nearly all rows have a fingerprint of their own; a fingerprint of many is split by a salt.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")
-    many = marked.groupBy("fp").count().where("count > 1000").select("fp", F.lit(True).alias("hot"))
-    salted = classes.join(many, "fp", "left").select(
-        "fp", "component_id", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(-1)))).alias("salt")
+    classes = stored(grouped.join(smallest, "component").select("fp", "n", "component", "component_id"), "simhash-classes")
+    # Nearly all rows have a fingerprint of their own.  One that very many share is dealt out: its class stands under
+    # several salts, and its rows, which a small list of such fingerprints marks, meet one each.
+    hot = classes.where(F.col("n") > HOT).select("fp", F.lit(True).alias("hot"))
+    salts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = classes.select("fp", "component", "component_id", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    rows = marked.join(hot, "fp", "left").select("doc_id", "fp", salt.alias("salt"))
+    return rows.join(salted, ["fp", "salt"]).select(
+        "doc_id", _hex("fp").alias("fingerprint"), "component_id", _hex("component").alias("group")
     )
-    rows = marked.join(F.broadcast(many) if False else many, "fp", "left").select("doc_id", "fp", F.when(F.col("hot"), salt).otherwise(F.lit(-1)).alias("salt"))
-    return rows.join(salted, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of `docs` that stay if of each group only the document with the smallest id does (one of repeated rows).
+
+    A document without an id stays only where no document of its group has one, and then one of them.
+    """
+    groups = stored(near_duplicates(docs, id=id, text=text, distance=distance), "simhash-groups")
+    first = Window.partitionBy(id).orderBy(F.lit(0))
+    smallest = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id)).distinct()
+    with_id = docs.where(F.col(id).isNotNull()).join(smallest, id, "left_semi")
+    with_id = with_id.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+    nameless = docs.where(F.col(id).isNull())
+    marked = nameless.withColumn("_fp", _marker()(F.col(text).cast("string")))
+    alone = groups.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_hex"), "group").distinct()
+    marked = marked.join(alone, _hex("_fp") == F.col("_hex"))
+    marked = marked.withColumn("_row", F.row_number().over(Window.partitionBy("group").orderBy(F.lit(0)))).where("_row = 1")
+    return with_id.unionByName(marked.select(*docs.columns))

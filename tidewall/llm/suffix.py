@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewall.llm.common import get, put, remove, shared_folder, stored, utf8
@@ -157,23 +157,29 @@ def _first(key: np.ndarray, run: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Texts of some documents in one compressed file: ids, ends and bytes."""
+    """Texts of some documents in one compressed file: ids, what travels with them, ends and bytes."""
 
     @staticmethod
-    def write(path: str, ids: list[int | None], ends: np.ndarray, buffer: bytes) -> None:
+    def write(path: str, ids: list[int | None], carried: list[bytes], ends: np.ndarray, buffer: bytes) -> None:
         null = np.array([i is None for i in ids], np.uint8)
         zstd = zstandard.ZstdCompressor(level=3)
-        head = _pack(np.array([i or 0 for i in ids], "<i8"), null, ends.astype("<i8"))
+        beside = np.frombuffer(b"".join(carried), np.uint8), np.fromiter(map(len, carried), "<u4", len(carried))
+        head = _pack(np.array([i or 0 for i in ids], "<i8"), null, ends.astype("<i8"), *beside)
         put(path, struct.pack("<I", len(head)) + head + zstd.compress(buffer))
 
     def __init__(self, path: str):
         data = get(path)
         (size,) = struct.unpack_from("<I", data)
-        ids, null, self.ends = _unpack(data[4 : 4 + size], "<i8", np.uint8, "<i8")
+        ids, null, self.ends, self._beside, self._lengths = _unpack(data[4 : 4 + size], "<i8", np.uint8, "<i8", np.uint8, "<u4")
         self.buffer = zstandard.decompress(data[4 + size :])
         self.ids = [None if n else i for i, n in zip(ids.tolist(), null.tolist())]
         self.order = np.where(null == 1, _LARGEST, ids)
 
+    def carried(self) -> list[str]:
+        stops = np.cumsum(self._lengths, dtype=np.int64)
+        raw = self._beside.tobytes()
+        return [raw[b - n : b].decode() for b, n in zip(stops.tolist(), self._lengths.tolist())]
+
     def order_at(self, at: np.ndarray) -> np.ndarray:
         return self.order[np.searchsorted(self.ends, at, side="right")]
 
@@ -194,10 +200,11 @@ class SuffixIndex:
     def levels(self) -> list[int]:
         return [size for size, _ in self._levels]
 
-    def add(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> None:
-        """A batch, whose ids are not below those of batches before."""
+    def add(self, docs: DataFrame, id: str = "doc_id", text: str = "text", carry: Column | None = None) -> None:
+        """A batch, whose ids are not below those of batches before.  The string `carry` comes out again beside a row."""
         self._merge_equal()
-        rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        beside = F.lit("") if carry is None else carry
+        rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), beside.alias("carry"))
         level = f"{self._folder}/batch-{self._batches:06d}"
         entries = rows.mapInArrow(self._sampler(self._batches), "shard int, " + _FOUND)
         sharded = entries.repartition(self._shards, "shard").sortWithinPartitions("shard", "chunk")
@@ -211,14 +218,14 @@ class SuffixIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task = TaskContext.get()
             part, number = task.partitionId(), 0
-            ids, texts, size = [], [], 0
+            ids, texts, beside, size = [], [], [], 0
 
             def flush():
                 chunk = batch << 48 | part << 20 | number
                 path = f"{folder}/{batch:04d}-{part:06d}-{task.taskAttemptId()}-{number:05d}.chunk"
                 ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
                 buffer = b"".join(texts)
-                Chunk.write(path, ids, ends, buffer)
+                Chunk.write(path, ids, beside, ends, buffer)
                 key, run, lo, n = sample_suffixes(buffer, ends, length)
                 order = np.array([_LARGEST if i is None else i for i in ids], np.int64)[np.searchsorted(ends, lo, side="right")]
                 by = np.lexsort((order, run, key))
@@ -248,13 +255,14 @@ class SuffixIndex:
                 )
 
             for batch_ in batches:
-                for doc_id, raw in zip(batch_.column(0).to_pylist(), utf8(batch_.column(1))):
+                for doc_id, raw, extra in zip(batch_.column(0).to_pylist(), utf8(batch_.column(1)), utf8(batch_.column(2))):
                     ids.append(doc_id)
+                    beside.append(extra)
                     texts.append(raw)
                     size += len(raw)
                     if size >= chunk_bytes:
                         yield flush()
-                        ids, texts, size, number = [], [], 0, number + 1
+                        ids, texts, beside, size, number = [], [], [], 0, number + 1
             if ids:
                 yield flush()
 
@@ -344,11 +352,11 @@ class SuffixIndex:
         return found.where(F.col("kind") != _ASK).union(compared)
 
     def removed(self) -> DataFrame:
-        """Rows (`doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept`, `spans`) for every document of all batches.
+        """Rows (`doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept`, `spans`, `carry`) for every document of all batches.
 
         `kept` are the bytes that stay; `spans` the removed stretches as from and to, in order.
         """
-        schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<from:bigint,to:bigint>>"
+        schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<from:bigint,to:bigint>>, carry string"
         return self.spans().repartition("chunk").sortWithinPartitions("chunk", F.desc("kind")).mapInArrow(_apply, schema)
 
 
@@ -491,7 +499,9 @@ def _kept(path: str, cuts: list) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
     firsts = np.searchsorted(hi, starts, side="right")
     lasts = np.searchsorted(lo, ends, side="left")
-    for doc_id, start, end, first, last in zip(chunk.ids, starts.tolist(), ends.tolist(), firsts.tolist(), lasts.tolist()):
+    for doc_id, start, end, first, last, extra in zip(
+        chunk.ids, starts.tolist(), ends.tolist(), firsts.tolist(), lasts.tolist(), chunk.carried()
+    ):
         spans = [(max(a, start), min(b, end)) for a, b in zip(lo[first:last].tolist(), hi[first:last].tolist())]
         kept, at = [], start
         for a, b in spans:
@@ -499,7 +509,7 @@ def _kept(path: str, cuts: list) -> Iterator[pa.RecordBatch]:
             at = b
         kept.append(chunk.buffer[at:end])
         spans = [{"from": a - start, "to": b - start} for a, b in spans]
-        rows.append((doc_id, end - start, sum(s["to"] - s["from"] for s in spans), len(spans), b"".join(kept), spans))
+        rows.append((doc_id, end - start, sum(s["to"] - s["from"] for s in spans), len(spans), b"".join(kept), spans, extra))
         size += end - start
         if size > 1 << 20:
             yield _result(rows)
@@ -510,12 +520,15 @@ def _kept(path: str, cuts: list) -> Iterator[pa.RecordBatch]:
 
 def _result(rows: list[tuple]) -> pa.RecordBatch:
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), span]
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), span, pa.string()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "carry"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int = BATCHES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", carry: Column | None = None, length: int = LENGTH,
+    batches: int = BATCHES, shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
     """`SuffixIndex.removed` of a whole table, fed in `batches` ranges of ascending ids."""
     fractions = [k / batches for k in range(1, batches)]
     cuts, size = docs.agg(
@@ -530,9 +543,26 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
             inside &= (key > low) | key.isNull() if high is None else key > low
         if high is not None:
             inside &= key <= high
-        index.add(docs.where(inside), id, text)
+        index.add(docs.where(inside), id, text, carry)
     return index.removed()
 
 
+def clean(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The same rows and columns with the repeated passages cut out of the text; of a character that is cut in two
+    nothing stays, and a null text stays null."""
+    others = [c for c in docs.columns if c not in (id, text)]
+    beside = F.struct(F.col(text).isNull().alias("_null"), *others)
+    kept = remove_repeats(docs, id=id, text=text, carry=F.to_json(beside), **options)
+
+    @F.arrow_udf("string")
+    def decoded(column: pa.Array) -> pa.Array:
+        return pa.array([raw.decode("utf-8", "ignore") for raw in utf8(column)], pa.string())
+
+    schema = docs.select(beside.alias("_")).schema["_"].dataType
+    rows = kept.select(F.col("doc_id"), decoded("kept").alias("_kept"), F.from_json("carry", schema).alias("_beside"))
+    back = {id: F.col("doc_id"), text: F.when(~F.col("_beside._null"), F.col("_kept"))} | {c: F.col(f"_beside.`{c}`") for c in others}
+    return rows.select(*(back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
 def digests(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
