@@ -2,11 +2,14 @@
 
 import base64
 
+import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidewall import fixed
 from tidewall.functions.crypto import FAILED, decrypt_col, encrypt_col
+from tidewall.operators.audit import sync_verdict
 from tidewall.operators.files import file_ext, malware_labels, sandbox_labels, sandbox_text
 from tidewall.operators.guard import guard, server_tools
 from tidewall.operators.kpi import kpi_trend, kth_smallest
@@ -16,7 +19,7 @@ from tidewall.sources.audit_store import read_audit, write_audit
 from tidewall.sources.policy import load_policy
 from tidewall.sources.prompts import load_attachments, load_prompts
 from tidewall.sources.signatures import append_signatures
-from tidewall.streaming.screening import audit_sink
+from tidewall.streaming.screening import DECIDED_SCHEMA, audit_sink, decisions_sink
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,7 +72,14 @@ def test_policy_sources(spark, tmp_path):
     assert default == [False, True]  # no domain list: the domain check is off
 
 
-def test_similarity_paths_agree_with_brute_force(spark):
+def test_guard_reads_escapes_and_denies_what_it_cannot_read(spark):
+    policy = load_policy(spark, text=inputs.POLICY_JSON)
+    rows = ['{"q": "\\u0064rop it"}', '{"\\u0064rop": 1}', '{"u": "http://evil.test/a"', "", '{"u": "http://evil.test/a"}', '{"q": "fine"}', None]
+    calls = spark.createDataFrame([(k, "x", a) for k, a in enumerate(rows)], "k int, tool string, args_json string")
+    assert [r["is_allowed"] for r in guard(calls, policy).orderBy("k").collect()] == [False] * 5 + [True] * 2
+
+
+def test_similarity_agrees_with_brute_force(spark):
     rng = np.random.default_rng(3)
     s = rng.normal(size=(300, 8))
     s[100:220] = s[100]  # more than a third of the signatures are equal
@@ -85,13 +95,23 @@ def test_similarity_paths_agree_with_brute_force(spark):
     sims = np.round(unit(p) @ unit(s).T, 10)
     want = {i: (int(row.argmax()), row.max()) if row.max() > 0 else (None, 0.0) for i, row in enumerate(sims)}
     for matrix_bytes in (1 << 20, 8 * 8 * 20):
-        got = match_signatures(prompts, signatures, matrix_bytes=matrix_bytes, block=16).collect()
+        got = match_signatures(prompts, signatures, matrix_bytes=matrix_bytes).collect()
         assert len(got) == len(p)
         for r in got:
             sid, sim = want[r["prompt_id"]]
             assert r["signature_id"] == sid and abs(r["similarity"] - sim) < 1e-9
 
 
+def test_similarity_of_repeated_and_string_keys(spark):
+    signatures = spark.createDataFrame([(i, [float(i == k) for k in range(4)]) for i in range(4)], "signature_id long, embedding array<double>")
+    rows = [("a", [1.0, 0.0, 0.0, 0.1]), ("a", [0.0, 0.0, 2.0, 0.0]), (None, [0.0, 1.0, 0.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [-1.0] * 4)]
+    prompts = spark.createDataFrame(rows, "prompt_id string, embedding array<double>")
+    for matrix_bytes in (1 << 20, 1):
+        got = match_signatures(prompts, signatures, matrix_bytes=matrix_bytes).select("prompt_id", "signature_id").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", 0), ("a", 2), (None, 1), ("b", None), ("c", None), ("d", None)]))
+    assert match_signatures(prompts, signatures.limit(0)).where("signature_id IS NULL AND similarity = 0").count() == len(rows)
+
+
 def test_kth_smallest(spark):
     values = [5, 5, 5, 5, -3, 10**12, 7, 5, 8]
     df = spark.createDataFrame([(v,) for v in values], "v long")
@@ -115,7 +135,7 @@ def test_trend_with_tied_timestamps(spark):
 def test_write_audit_is_repeatable(spark, tmp_path):
     prompts = inputs.prompts(spark, SF)
     for _ in range(2):
-        write_audit(prompts, str(tmp_path), secret="k", batch_id=1)
+        write_audit(prompts, str(tmp_path), "run", 1, secret="k")
     logs, events, tickets = read_audit(spark, str(tmp_path))
     assert logs.count() == prompts.count()
     assert tickets.count() == logs.filter("action = 'HUMAN_REVIEW'").count() > 0
@@ -134,6 +154,37 @@ def test_audit_stream(spark, tmp_path):
     assert logs.count() == batch.count() and events.count() > 0
 
 
+def test_batches_runs_and_streams_keep_each_others_rows(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert [t.count() for t in read_audit(spark, store)] == [0, 0, 0]  # nothing stored yet
+    one, two = inputs.prompts(spark, SF).limit(3), inputs.prompts(spark, SF).where("prompt_id BETWEEN 100 AND 103")
+    write_audit(one, store, "a", 0)
+    write_audit(two, store, "b", 0)
+    write_audit(two, store, "b", 0)
+    assert read_audit(spark, store)[0].count() == 7
+    source = str(tmp_path / "in")
+    three = inputs.prompts(spark, SF).where("prompt_id >= 150")
+    three.write.parquet(source)
+    for state in ("s1", "s2"):  # a second checkpoint is another run: it stores its rows beside the first one's
+        stream = load_prompts(spark, source, streaming=True, schema=three.schema)
+        audit_sink(stream, store, str(tmp_path / state)).trigger(availableNow=True).start().awaitTermination()
+    assert read_audit(spark, store)[0].count() == 7 + 2 * three.count()
+
+
+def test_first_decision_stays_first_after_a_new_checkpoint(spark, tmp_path):
+    schema = "approval_id long, decision_id long, status string, reviewer_id string, review_notes string, ts timestamp"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda n: datetime.datetime(2024, 1, n)
+    spark.createDataFrame([(1, 1, "approved", "r", "", day(1)), (2, 2, "REJECTED", "r", "", day(1))], schema).write.parquet(source)
+    for state in ("s1", "s2"):
+        stream = spark.readStream.schema(schema).parquet(source)
+        decisions_sink(stream, out, str(tmp_path / state)).trigger(availableNow=True).start().awaitTermination()
+        more = spark.createDataFrame([(1, 3, "REJECTED", "s", "", day(2)), (3, 4, "APPROVED", "s", "", day(2))], schema)
+        more.write.mode("append").parquet(source)
+    rows = sorted((r["approval_id"], r["decision_id"]) for r in spark.read.schema(DECIDED_SCHEMA).parquet(out).collect())
+    assert rows == [(1, 1), (2, 2), (3, 4)]
+
+
 def test_attachments_and_signatures(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a b.txt").write_bytes(b"abc")
@@ -147,3 +198,13 @@ def test_attachments_and_signatures(spark, tmp_path):
 
 def test_fixed_tables_are_complete():
     assert len(fixed.DETECTORS) == 10 and sum(float(w) for w in fixed.RISK_WEIGHTS.values()) == 2.0
+
+
+def test_latest_decided_ticket_gives_the_verdict(spark):
+    logs = spark.createDataFrame([(1, "HUMAN_REVIEW"), (2, "HUMAN_REVIEW")], "log_id long, action string")
+    day = lambda n: datetime.datetime(2024, 1, n)
+    tickets = spark.createDataFrame(
+        [(5, 1, "APPROVED", day(3)), (6, 1, "REJECTED", day(2)), (7, 2, "PENDING", None)],
+        "approval_id long, log_id long, status string, reviewed_at timestamp",
+    )
+    assert sorted(map(tuple, sync_verdict(logs, tickets).collect())) == [(1, "ALLOW"), (2, "HUMAN_REVIEW")]

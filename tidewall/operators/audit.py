@@ -176,10 +176,12 @@ def rejected_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def sync_verdict(logs: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Logs with the verdict of their decided ticket."""
-    decided = tickets.filter(F.col("status").isin("APPROVED", "REJECTED")).select(
-        "log_id", F.when(F.col("status") == "APPROVED", F.lit("ALLOW")).otherwise("BLOCK").alias("_final")
-    )
+    """Logs with the verdict of their decided ticket; of several the one that was decided (else created) last."""
+    at = [F.col(c) for c in ("reviewed_at", "created_at", "approval_id") if c in tickets.columns]
+    verdict = F.when(F.col("status") == "APPROVED", F.lit("ALLOW")).otherwise("BLOCK")
+    latest = F.max(F.struct(*at, verdict.alias("_final")))
+    decided = tickets.filter(F.col("status").isin("APPROVED", "REJECTED")).groupBy("log_id").agg(latest.alias("_l"))
+    decided = decided.select("log_id", F.col("_l._final").alias("_final"))
     return logs.join(decided, "log_id", "left").withColumn("action", F.coalesce("_final", "action")).drop("_final")
 
 

@@ -12,6 +12,8 @@ from tidewall.sources.policy import Policy
 # Explanation texts
 ALLOWED_TEXT = "Tool call matches active heuristic policy constraints."
 
+UNREADABLE_TEXT = "Tool arguments are not readable as JSON."
+
 
 def _said(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -33,10 +35,10 @@ def tool_permission(calls: DataFrame, policy: Policy, tool: str = "tool") -> Dat
 
 
 def destructive_keyword(args_json: Column, policy: Policy) -> Column:
-    """First listed keyword that occurs anywhere in the lower-cased arguments."""
+    """First listed keyword that occurs anywhere in the lower-cased arguments, as they read once escapes are decoded."""
     if not policy.check_keywords or not policy.keywords:
         return F.lit(None).cast("string")
-    lowered = F.lower(args_json)
+    lowered = F.lower(F.coalesce(F.to_json(F.try_parse_json(args_json)), args_json))
     return F.coalesce(*[F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in policy.keywords])
 
 
@@ -73,13 +75,19 @@ def foreign_domain(args_json: Column, policy: Policy) -> Column:
     return F.try_element_at(F.filter(hosts, lambda h: (F.length(h) > 0) & ~listed(h)), F.lit(1))
 
 
+def unreadable(args_json: Column) -> Column:
+    """Arguments that are there but do not parse: no check can look into them."""
+    return args_json.isNotNull() & F.try_parse_json(args_json).isNull()
+
+
 def guard(calls: DataFrame, policy: Policy, tool: str = "tool", args_json: str = "args_json") -> DataFrame:
-    """Add `is_allowed` and `explanation`: the first failing check decides."""
+    """Add `is_allowed` and `explanation`: the first failing check decides.  Arguments that do not parse are denied."""
     out = tool_permission(calls, policy, tool)
     out = out.withColumn("_word", destructive_keyword(F.col(args_json), policy))
     out = out.withColumn("_host", foreign_domain(F.col(args_json), policy))
     reason = F.coalesce(
         F.col("permission_reason"),
+        F.when(unreadable(F.col(args_json)), F.lit(UNREADABLE_TEXT)),
         _said("Destructive command keyword '", F.col("_word"), "' detected in execution arguments."),
         _said("Network domain '", F.col("_host"), "' is not on the firewall allowed domains list."),
     )

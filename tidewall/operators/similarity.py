@@ -1,12 +1,9 @@
 """Best signature of a prompt vector by cosine similarity, exact at any number of signatures.
 
-A signature list within a checked size is shipped to the executors as one matrix and the prompts are not moved.
-
-Beyond that, signatures are grouped into cells around pivots, which are signatures themselves.  A cell can only hold
-a better match than the best pivot if the prompt's angle to the cell's pivot, less the cell's widest angle, is below
-the angle to that best pivot; other cells are skipped.  Prompts are joined to the blocks of the cells that remain.
-Cells and prompts are cut into blocks of bounded size, so a crowded cell is many tasks and no pair of rows is ever
-written out: a block of prompts meets a block of signatures in one matrix product.
+Signatures are written once, in ascending order of their ids, as matrix files of bounded size in the shared folder.
+Prompts are not moved: each task gathers prompt vectors up to the same bound and holds them against one file after the
+other, keeping the best so far.  One file or many, the work is prompts times signatures in matrix products, no pair of
+rows is written anywhere, and a task's memory is two such matrices.
 """
 
 from __future__ import annotations
@@ -14,79 +11,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MATRIX_BYTES = 64 * 1024 * 1024
-BLOCK = 512
-_EPS = 1e-7
-
-
-def _unit_udf():
-    """Vector scaled to length 1; NULL where it has none."""
-
-    @F.arrow_udf("array<double>")
-    def unit(vectors):
-        import numpy as np
-        import pyarrow as pa
-
-        out = []
-        for v in vectors.to_pylist():
-            a = np.asarray(v if v is not None else [], np.float64)
-            n = np.sqrt(a @ a)
-            out.append((a / n).tolist() if n > 0 else None)
-        return pa.array(out, pa.list_(pa.float64()))
+from tidewall.functions.shared import shared_folder
 
-    return unit
+MATRIX_BYTES = 64 * 1024 * 1024
 
 
-def _best_in_matrix_udf(ids, matrix, with_all_angles: bool = False):
-    """Best row of a fixed matrix per vector: STRUCT<id, sim>; first id wins ties."""
+def _matrix_files(signatures: DataFrame, folder: str, matrix_bytes: int) -> list[str]:
+    """Files of (ids, unit vectors); only their names, a row per `matrix_bytes`, come to the driver."""
 
-    @F.arrow_udf("array<double>" if with_all_angles else "struct<id:bigint,sim:double>")
-    def best(vectors):
-        import numpy as np
-        import pyarrow as pa
+    def write(batches):
+        import io
+        import uuid
 
-        rows = vectors.to_pylist()
-        dim = matrix.shape[1]
-        out = []
-        for start in range(0, len(rows), 1024):
-            chunk = rows[start : start + 1024]
-            block = np.array([r if r is not None else [0.0] * dim for r in chunk], np.float64).reshape(len(chunk), dim)
-            sims = np.round(block @ matrix.T, 10)
-            if with_all_angles:
-                out.extend(np.clip(sims, -1, 1).tolist())
-                continue
-            at = sims.argmax(axis=1)
-            top = sims[np.arange(len(chunk)), at]
-            out.extend(
-                {"id": int(ids[i]), "sim": float(s)} if s > 0 else {"id": None, "sim": 0.0} for i, s in zip(at, top)
-            )
-        kind = pa.list_(pa.float64()) if with_all_angles else pa.struct([("id", pa.int64()), ("sim", pa.float64())])
-        return pa.array(out, kind)
-
-    return best
-
-
-def _best_in_block_udf():
-    """Per prompt of a block, the best signature of a signature block."""
-
-    @F.arrow_udf("array<struct<key:bigint,id:bigint,sim:double>>")
-    def best(prompts, signatures):
         import numpy as np
         import pyarrow as pa
-
-        out = []
-        for ps, ss in zip(prompts.to_pylist(), signatures.to_pylist()):
-            ss.sort(key=lambda s: s["id"])
-            sims = np.array([p["v"] for p in ps], np.float64) @ np.array([s["v"] for s in ss], np.float64).T
-            sims = np.round(sims, 10)
-            at = sims.argmax(axis=1)
-            out.append(
-                [{"key": p["key"], "id": ss[i]["id"], "sim": float(row[i])} for p, i, row in zip(ps, at, sims)]
-            )
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("id", pa.int64()), ("sim", pa.float64())]))
-        return pa.array(out, kind)
-
-    return best
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        ids, rows, size = [], [], 0
+
+        def flush():
+            out, path = io.BytesIO(), f"{base}/{uuid.uuid4().hex}.npz"
+            np.savez(out, ids=np.array(ids, np.int64), vectors=np.array(rows, np.float64))
+            with store.open_output_stream(path) as file:
+                file.write(out.getvalue())
+            return pa.RecordBatch.from_pydict({"first": pa.array([ids[0]], pa.int64()), "path": [path]})
+
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v = np.asarray(vector, np.float64)
+                norm = np.sqrt(v @ v)
+                if norm > 0:
+                    if rows and size + v.nbytes > matrix_bytes:
+                        yield flush()
+                        ids, rows, size = [], [], 0
+                    ids.append(id)
+                    rows.append(v / norm)
+                    size += v.nbytes
+        if rows:
+            yield flush()
+
+    usable = signatures.select("signature_id", "embedding").where("signature_id IS NOT NULL AND embedding IS NOT NULL")
+    ordered = usable.repartitionByRange("signature_id").sortWithinPartitions("signature_id")
+    return [r["path"] for r in sorted(ordered.mapInArrow(write, "first long, path string").collect())]
 
 
 def match_signatures(
@@ -95,84 +63,64 @@ def match_signatures(
     key: str = "prompt_id",
     vector: str = "embedding",
     matrix_bytes: int = MATRIX_BYTES,
-    block: int = BLOCK,
 ) -> DataFrame:
     """key, signature_id, similarity of the best signature; NULL and 0 where none is similar at all.
 
-    signatures: signature_id BIGINT, embedding.  Equal similarities go to the lowest signature id.
+    signatures: signature_id BIGINT, embedding.  Equal similarities go to the lowest signature id.  Each prompt row is
+    answered by itself: keys may be of any type, repeated or null.
     """
-    import numpy as np
-
-    unit = _unit_udf()
-    s = signatures.select("signature_id", unit("embedding").alias("v")).filter(F.col("v").isNotNull())
-    p = prompts.select(F.col(key).alias("key"), unit(vector).alias("v"))
-    n, dim = s.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n:
-        return p.select(F.col("key").alias(key), F.lit(None).cast("bigint").alias("signature_id"), F.lit(0.0).alias("similarity"))
-    if n * dim * 8 <= matrix_bytes:
-        rows = s.orderBy("signature_id").collect()  # within the checked size
-        best = _best_in_matrix_udf([r[0] for r in rows], np.array([r[1] for r in rows]))
-        return p.select("key", best("v").alias("b")).select(
-            F.col("key").alias(key), F.col("b.id").alias("signature_id"), F.col("b.sim").alias("similarity")
-        )
-    return _match_in_cells(p, s, n, dim, matrix_bytes, block, key)
-
-
-def _match_in_cells(p: DataFrame, s: DataFrame, n: int, dim: int, matrix_bytes: int, block: int, key: str) -> DataFrame:
-    import numpy as np
-
-    k = max(1, min(1024, int(n**0.5), matrix_bytes // (dim * 8)))
-    pivots = np.array([r[1] for r in s.orderBy(F.xxhash64("signature_id"), "signature_id").limit(k).collect()])
-    sims = _best_in_matrix_udf(None, pivots, with_all_angles=True)
-    placed = s.select("signature_id", "v", sims("v").alias("_c")).select(
-        "signature_id", "v", F.array_max("_c").alias("_top"), "_c"
-    ).select(
-        "signature_id", "v", (F.array_position("_c", F.col("_top")) - 1).cast("int").alias("cell"),
-        F.acos("_top").alias("_angle"),
-    )
-    cells = sorted(placed.groupBy("cell").agg(F.max("_angle"), F.count("*")).collect())  # one row per pivot
-    radius = {c: r for c, r, _ in cells}
-    blocks = {c: -(-m // block) for c, _, m in cells}
-
-    def per_cell(values: dict, default) -> F.Column:
-        return F.array(*[F.lit(values.get(c, default)) for c in range(len(pivots))])
-
-    in_blocks = (
-        placed.withColumn("part", F.pmod(F.xxhash64("signature_id"), F.element_at(per_cell(blocks, 1), F.col("cell") + 1)))
-        .groupBy("cell", "part")
-        .agg(F.collect_list(F.struct(F.col("signature_id").alias("id"), "v")).alias("ss"))  # about `block` rows
-    )
-    reach = F.acos(F.array_max("_c")) + _EPS
-    wide = (
-        p.filter(F.col("v").isNotNull())
-        .select("key", "v", sims("v").alias("_c"))
-        .withColumn("_reach", reach)
-        .withColumn("_r", per_cell({c: float(r) for c, r in radius.items()}, -10.0))
-        .select(
-            "key", "v", "_reach",
-            F.posexplode(F.zip_with("_c", "_r", lambda c, r: F.acos(c) - r)).alias("cell", "_least"),
-        )
-        .filter(F.col("_least") <= F.col("_reach"))
-        .select("key", "v", "cell", F.explode(F.sequence(F.lit(0), F.element_at(per_cell(blocks, 1), F.col("cell") + 1) - 1)).alias("part"))
-    )
-    # prompts of a cell go to as many groups as their number asks for; 64-bit hash groups stay near `block` rows
-    asked = wide.groupBy("cell").agg(F.count("*").alias("m")).withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("m") / block)))
-    groups = {r["cell"]: int(r["groups"]) for r in asked.collect()}  # one row per pivot
-    packed = (
-        wide.withColumn("grp", F.pmod(F.xxhash64("key"), F.element_at(per_cell(groups, 1), F.col("cell") + 1)))
-        .groupBy("cell", "part", "grp")
-        .agg(F.collect_list(F.struct("key", "v")).alias("ps"))
-    )
-    best = _best_in_block_udf()
-    found = (
-        packed.join(in_blocks, ["cell", "part"])
-        .select(F.inline(best("ps", "ss")))
-        .groupBy("key")
-        .agg(F.max_by(F.struct("id", "sim"), F.struct("sim", -F.col("id"))).alias("b"))
-    )
-    similar = F.col("b.sim") > 0
-    return p.select("key").join(found, "key", "left").select(
-        F.col("key").alias(key),
-        F.when(similar, F.col("b.id")).alias("signature_id"),
-        F.when(similar, F.col("b.sim")).otherwise(0.0).alias("similarity"),
-    )
+    folder = shared_folder(prompts.sparkSession, "signatures")
+    paths = _matrix_files(signatures, folder, matrix_bytes)
+
+    def match(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
+        loaded = {}
+
+        def matrix(path):
+            if path not in loaded:
+                loaded.clear()
+                with store.open_input_file(path) as file:
+                    found = np.load(file)
+                    loaded[path] = found["ids"], found["vectors"]
+            return loaded[path]
+
+        def answer(held):
+            keys = pa.concat_arrays([k for k, _ in held])
+            values = [v for _, vs in held for v in vs.to_pylist()]
+            best, at = np.zeros(len(values)), np.zeros(len(values), np.int64)
+            rows = {}
+            for i, v in enumerate(values):
+                a = np.asarray(v if v is not None else [], np.float64)
+                n = np.sqrt(a @ a)
+                if n > 0:
+                    rows.setdefault(len(a), []).append((i, a / n))
+            for path in paths:
+                ids, signed = matrix(path)
+                for i0 in range(0, len(rows.get(signed.shape[1], ())), 1024):
+                    part = rows[signed.shape[1]][i0 : i0 + 1024]
+                    sims = np.round(np.array([a for _, a in part]) @ signed.T, 10)
+                    top = sims.argmax(axis=1)
+                    where = np.array([i for i, _ in part])
+                    value = sims[np.arange(len(part)), top]
+                    better = value > best[where]
+                    best[where[better]], at[where[better]] = value[better], ids[top[better]]
+            names = ["key", "signature_id", "similarity"]
+            return pa.RecordBatch.from_arrays([keys, pa.array(at, mask=best <= 0), pa.array(best)], names)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0), batch.column(1)))
+            size += batch.column(1).nbytes
+            if size >= matrix_bytes:
+                yield answer(held)
+                held, size = [], 0
+        if held:
+            yield answer(held)
+
+    rows = prompts.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(match, f"key {kind}, signature_id long, similarity double").withColumnRenamed("key", key)

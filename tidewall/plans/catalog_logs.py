@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from tidewall import fixed
 from tidewall.functions.vectors import cosine, fit_dim
 from tidewall.operators import audit, files, guard, kpi, risk
+from tidewall.functions.shared import shared_folder
 from tidewall.operators.similarity import match_signatures
 from tidewall.operators.threat import classify_threat, hybrid_override
 from tidewall.plans import inputs, oracle
@@ -275,8 +275,10 @@ _POLICY_SQL = """rules(server, enabled, tool, allowed, blocked) AS (VALUES ('fil
 _KEYWORDS = ("rm", "rf", "drop", "delete", "truncate", "format", "purge", "destroy")
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 _GUARD_SQL = f"""{oracle.TOOL_CALLS}, {_POLICY_SQL},
-words AS (SELECT *, list_filter({oracle.sql_list(_KEYWORDS)}, lambda k: contains(lower(args_json), k))[1] AS word,
-  list_filter(list_transform(json_keys(args_json), lambda k: CASE WHEN json_type(args_json, k) = 'VARCHAR' THEN json_extract_string(args_json, k) END),
+words AS (SELECT *, list_filter({oracle.sql_list(_KEYWORDS)}, lambda k: contains(lower(CASE WHEN json_valid(args_json) THEN
+    array_to_string(list_transform(json_keys(args_json), lambda n: n || ' ' || coalesce(json_extract_string(args_json, n), '')), ' ')
+    ELSE args_json END), k))[1] AS word,
+  list_filter(list_transform(CASE WHEN json_valid(args_json) THEN json_keys(args_json) ELSE [] END, lambda k: CASE WHEN json_type(args_json, k) = 'VARCHAR' THEN json_extract_string(args_json, k) END),
     lambda v: v IS NOT NULL AND (contains(v, '.') OR starts_with(v, 'http://') OR starts_with(v, 'https://'))) AS args FROM calls),
 hosts AS (SELECT *, list_filter(list_transform(list_transform(args, lambda v: CASE WHEN contains(v, '://') THEN v ELSE 'http://' || v END),
     lambda u: split_part(regexp_extract(u, '{_URL}([^/?#]*)', 1), ':', 1)),
@@ -315,7 +317,7 @@ def domain_allowlist(spark, sf_dir):
     "guard_tool_calls",
     f"""WITH {_GUARD_SQL}, r AS (SELECT h.call_id, h.tool, coalesce(
  'Tool ''' || h.tool || ''' is explicitly blacklisted on server ''' || d.server || '''.',
- 'Destructive command keyword ''' || word || ''' detected in execution arguments.',
+ CASE WHEN NOT json_valid(args_json) THEN {q(guard.UNREADABLE_TEXT)} END, 'Destructive command keyword ''' || word || ''' detected in execution arguments.',
  'Network domain ''' || host || ''' is not on the firewall allowed domains list.') AS reason FROM hosts h LEFT JOIN denied d ON d.tool = h.tool)
 SELECT call_id, tool, reason IS NULL AS is_allowed, coalesce(reason, {q(guard.ALLOWED_TEXT)}) AS explanation FROM r""",
 )
@@ -370,7 +372,8 @@ def match_signatures_query(spark, sf_dir):
 
 @query("match_signatures_in_cells", _MATCH_SQL)
 def match_signatures_in_cells(spark, sf_dir):
-    m = match_signatures(_vectors(spark, sf_dir), _signatures(spark, sf_dir), matrix_bytes=64_000, block=256)
+    """The same over many matrix files."""
+    m = match_signatures(_vectors(spark, sf_dir), _signatures(spark, sf_dir), matrix_bytes=64_000)
     return m.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -553,12 +556,7 @@ def file_report(spark, sf_dir):
 
 # ------------------------------------------------------------------------------------------------ streams
 def _scratch(spark) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="tidewall-")
-    token = spark.sql("SELECT uuid() AS u").first()["u"]
-    return f"{shared.rstrip('/')}/tidewall-{token}"
+    return shared_folder(spark, "stream")
 
 
 def _run_stream(spark, stream, mode="append"):

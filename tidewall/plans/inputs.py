@@ -144,7 +144,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs.select(
             F.col("doc_id").alias("prompt_id"),
             F.col("source").alias("session_id"),
-            (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("doc_id") * 37).cast("int"))).alias("ts"),
+            (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.expr("cast(doc_id * 37 div 1440 AS int)"), mins=F.expr("cast(doc_id * 37 % 1440 AS int)"))).alias("ts"),
             F.concat_ws("\n", "text", _line("doc_id", LINES, LINE_STEP)).alias("prompt"),
             "lang",
         )
@@ -310,6 +310,9 @@ ARGUMENTS = (
     '"q": "DROP it"',
     '"a": {"b": "x.y"}, "c": "notexample.com"',
     '"u": "ftp://sub.example.com/f", "v": "example.com/path"',
+    '"q": "\\u0064rop it"',
+    '"u": "http://evil.test/a',
+    '"\\u0070urge": [1, {"deep": "fine"}]',
 )
 SERVERS = ("files", "web", "old", "none")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,42 +28,67 @@ def log_rows(screened: DataFrame, key: str, session: str, ts: str, prompt: str,
 def write_audit(
     prompts: DataFrame,
     path: str,
+    run_id: str,
+    batch_id: int,
     key: str = "prompt_id",
     session: str = "session_id",
     ts: str = "ts",
     prompt: str = "prompt",
     secret: str | None = None,
-    batch_id: int = 0,
     **screening,
 ) -> None:
     """Screen prompts and write logs, events and tickets.
 
-    Prompts are screened once: the result is written to `screened` first and the three tables are read off it.  All
-    writes replace only the partitions of this batch, so a batch that is run again after a failure changes nothing.
+    A batch is named by its run and its number in the run; it replaces what the same batch of the same run has stored,
+    so one that is run again after a failure changes nothing, and no batch touches what another one stored.
+
+    Prompts are screened once: the result is staged, the three tables are read off it, and the stage is removed when
+    they are written.
     """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError("a run is named by letters, digits and _ . -")
     spark = prompts.sparkSession
-    staged = (
-        screen(prompts, prompt, **screening)
-        .withColumn("day", F.to_date(ts))
-        .withColumn("batch", F.lit(batch_id))
-    )
+    staged = screen(prompts, prompt, **screening)
     if secret:
         staged = staged.withColumn(prompt, encrypt_col(F.coalesce(F.col(prompt), F.lit("")), secret))
-    _replace(staged, f"{path}/screened")
-    done = spark.read.parquet(f"{path}/screened").filter(F.col("batch") == batch_id)
+    stage = f"{path}/staged/{run_id}-{batch_id}"
+    staged.write.mode("overwrite").parquet(stage)
+    done = spark.read.schema(staged.schema).parquet(stage)
     for name, rows in (
         ("logs", log_rows(done, key, session, ts, prompt)),
         ("events", all_events(done, key, ts)),
         ("tickets", review_tickets(done, key, ts)),
     ):
         day = "created_at" if name == "tickets" else "ts"
-        _replace(rows.withColumn("day", F.to_date(day)).withColumn("batch", F.lit(batch_id)), f"{path}/{name}")
+        # The batch has a folder of its own, which is replaced as a whole; a batch without rows leaves an empty one.
+        rows.withColumn("day", F.to_date(day)).write.mode("overwrite").partitionBy("day").parquet(
+            f"{path}/{name}/run={run_id}/batch={batch_id}"
+        )
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
+def read_audit(
+    spark: SparkSession, path: str, key: str = "bigint", session: str = "string", ts: str = "timestamp_ntz"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(logs, events, tickets) of all runs; tables that nothing has been written to are empty.
+
+    `key`, `session` and `ts` are the types that the prompts had.
+    """
+    one = spark.createDataFrame([], f"prompt_id {key}, session_id {session}, ts {ts}, prompt string")
+    screened = screen(one, "prompt")
+    shapes = {
+        "logs": log_rows(screened, "prompt_id", "session_id", "ts", "prompt"),
+        "events": all_events(screened, "prompt_id", "ts"),
+        "tickets": review_tickets(screened, "prompt_id", "ts"),
+    }
 
+    def read(name: str) -> DataFrame:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        schema = shapes[name].schema
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.createDataFrame([], schema)
+        # with the folders' columns, which Spark adds, left out again
+        return spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
 
-def read_audit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(logs, events, tickets)."""
-    return tuple(spark.read.parquet(f"{path}/{name}").drop("batch", "day") for name in ("logs", "events", "tickets"))
+    return read("logs"), read("events"), read("tickets")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -16,11 +18,20 @@ def screen_stream(prompts: DataFrame, prompt: str = "prompt", **screening) -> Da
     return screen(prompts, prompt, **screening)
 
 
+def run_of(checkpoint: str) -> str:
+    """A stream's stable name: that of its checkpoint, whose batches are numbered from 0."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:32]
+
+
 def audit_sink(prompts: DataFrame, path: str, checkpoint: str, **audit) -> DataStreamWriter:
-    """Writer that stores logs, events and tickets of each micro-batch; a batch that is replayed overwrites itself."""
+    """Writer that stores logs, events and tickets of each micro-batch.
+
+    A batch that is replayed overwrites itself; another checkpoint is another run and overwrites nothing of this one.
+    """
+    run = run_of(checkpoint)
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        write_audit(rows, path, batch_id=batch_id, **audit)
+        write_audit(rows, path, run, batch_id, **audit)
 
     return prompts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
@@ -38,27 +49,27 @@ def risk_by_day_stream(logs: DataFrame, late: str = "1 day") -> DataFrame:
 def decisions_sink(decisions: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Writer that keeps the first valid decision per ticket.
 
-    Within a micro-batch the earliest decision wins, across batches the one that came first.  A batch writes only its
-    own partition and reads only earlier ones, so a batch that is replayed gives the same result.
+    Within a micro-batch the earliest decision wins, across batches and runs the one that came first.  A batch writes
+    only its own folder and leaves it out when it looks for earlier decisions, so a replayed batch gives the same result.
     """
+    run = run_of(checkpoint)
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        first = first_decisions(rows)
-        spark = rows.sparkSession
-        if batch_id > 0:
-            earlier = spark.read.schema(DECIDED_SCHEMA).parquet(path).filter(F.col("batch") < batch_id)
+        spark, first = rows.sparkSession, first_decisions(rows)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            stored = spark.read.schema(DECIDED_SCHEMA).parquet(path)
+            # not this batch's own rows, nor those that this run stored after it
+            earlier = stored.filter((F.col("run") != run) | (F.col("batch") < batch_id))
             first = first.join(earlier.select("approval_id"), "approval_id", "left_anti")
-        (
-            first.withColumn("batch", F.lit(batch_id))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-        )
+        first.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return decisions.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
 DECIDED_SCHEMA = (
     "approval_id bigint, decision_id bigint, status string, reviewer_id string, review_notes string, "
-    "ts timestamp, batch int"
+    "ts timestamp, run string, batch int"
 )
 
 
