@@ -154,6 +154,19 @@ def test_audit_stream(spark, tmp_path):
     assert logs.count() == batch.count() and events.count() > 0
 
 
+def test_trend_is_the_same_with_text_ids(spark):
+    logs = spark.createDataFrame(
+        [(i, f"2024-01-0{1 + i // 9} 00:00:0{i % 3}", "BLOCK" if i % 4 else "ALLOW", i / 30) for i in range(30)],
+        "n long, t string, action string, risk double",
+    ).withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    events = logs.select("n", "ts", F.lit("PII").alias("agent_source"))
+    padded = F.format_string("%05d", "n").alias("log_id")
+    as_text = [t.select(padded, *[c for c in t.columns if c != "n"]) for t in (logs, events)]
+    as_number = [t.withColumnRenamed("n", "log_id") for t in (logs, events)]
+    rows = [sorted(map(str, kpi_trend(*tables).collect())) for tables in (as_text, as_number)]
+    assert rows[0] == rows[1] and len(rows[0]) == 6
+
+
 def test_batches_runs_and_streams_keep_each_others_rows(spark, tmp_path):
     store = str(tmp_path / "store")
     assert [t.count() for t in read_audit(spark, store)] == [0, 0, 0]  # nothing stored yet

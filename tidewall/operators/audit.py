@@ -34,6 +34,9 @@ def get_log(logs: DataFrame, log_id) -> DataFrame:
     return logs.filter(F.col("log_id") == log_id)
 
 
+#: Decisions of one ticket from which on they are dealt out, and among how many.
+HOT_TICKET = 10_000
+SALTS = 16
 EVENT_FIELDS = ("position", "agent_source", "trigger_type", "severity_level", "details")
 TICKET_FIELDS = ("approval_id", "status", "reviewer_id", "review_notes", "created_at", "reviewed_at")
 
@@ -52,8 +55,10 @@ def logs_with_children(logs: DataFrame, events: DataFrame, tickets: DataFrame) -
     )
 
 
-def feed_filter(
-    nested: DataFrame,
+def feed(
+    logs: DataFrame,
+    events: DataFrame,
+    tickets: DataFrame,
     date=None,
     action: str = "ALL",
     detector: str | None = None,
@@ -62,31 +67,35 @@ def feed_filter(
     text: str = "",
     limit: int = 15,
 ) -> DataFrame:
-    """Conjunctive filters over nested logs, newest first."""
-    out = nested
+    """The newest logs that pass all filters, with their events and tickets nested.
+
+    Logs are filtered and the newest taken before anything is nested; what is asked of events is answered by the log
+    ids of matching events.
+    """
+    out = logs
     if date is not None:
-        out = out.filter(F.to_date("ts") == F.lit(date).cast("date"))
+        day = F.lit(date).cast("date")
+        out = out.filter((F.col("ts") >= day) & (F.col("ts") < F.date_add(day, 1)))
     if action != "ALL":
         out = out.filter(F.col("action") == action)
-    if detector:
-        out = out.filter(
-            F.exists("events", lambda e: F.contains(e["trigger_type"], F.lit(detector)) | (e["agent_source"] == detector))
-        )
     if min_risk > 0:
         out = out.filter(F.col("risk") >= min_risk)
     if user:
         out = out.filter(F.contains(F.lower("session_id"), F.lit(user.lower())))
+    if detector:
+        named = F.contains("trigger_type", F.lit(detector)) | (F.col("agent_source") == detector)
+        out = out.join(events.filter(named).select("log_id"), "log_id", "left_semi")
     if text:
         needle = F.lit(text.lower())
-        described = F.lower(
-            F.array_join(F.transform("events", lambda e: F.concat_ws(" ", e["agent_source"], e["trigger_type"])), " ")
-        )
-        out = out.filter(
-            F.contains(F.lower("raw_input"), needle)
-            | F.contains(F.lower("session_id"), needle)
-            | F.contains(described, needle)
-        )
-    return out.orderBy(F.col("ts").desc(), F.col("log_id")).limit(limit)
+        described = F.contains(F.lower(F.concat_ws(" ", "agent_source", "trigger_type")), needle)
+        marked = events.filter(described).groupBy("log_id").agg(F.lit(True).alias("_described"))
+        out = out.join(marked, "log_id", "left").filter(
+            F.contains(F.lower("raw_input"), needle) | F.contains(F.lower("session_id"), needle) | F.coalesce("_described", F.lit(False))
+        ).drop("_described")
+    out = out.select(*logs.columns).orderBy(F.col("ts").desc(), F.col("log_id")).limit(limit)
+    ids = out.select("log_id")
+    own_events, own_tickets = (rows.join(ids, "log_id", "left_semi") for rows in (events, tickets))
+    return logs_with_children(out, own_events, own_tickets).orderBy(F.col("ts").desc(), F.col("log_id"))
 
 
 def transaction_id(ts: Column | str) -> Column:
@@ -150,29 +159,31 @@ def apply_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def rejected_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions that change nothing, with the reason: bad input, unknown ticket, or ticket already decided."""
-    bad = decisions.filter(~_valid(decisions)).select(
-        "decision_id", "approval_id", F.lit("Status must be either APPROVED or REJECTED").alias("error")
-    )
-    good = decisions.filter(_valid(decisions))
-    unknown = good.join(tickets, "approval_id", "left_anti").select(
-        "decision_id", "approval_id", F.lit("Human approval ticket not found.").alias("error")
+    valid = F.coalesce(_valid(decisions), F.lit(False))
+    first = decisions.groupBy("approval_id").agg(
+        F.min(F.when(valid, F.struct("ts", "decision_id", F.upper("status").alias("status")))).alias("d"), F.count(F.lit(1)).alias("_n")
     )
-    first = good.groupBy("approval_id").agg(F.min(F.struct("ts", "decision_id", F.upper("status").alias("status"))).alias("d"))
-    known = tickets.join(first, "approval_id").select(
+    pending = F.col("status") == "PENDING"
+    hot = F.coalesce(F.col("_n") > HOT_TICKET, F.lit(False))
+    known = tickets.select("approval_id", "status").join(first, "approval_id").select(
         "approval_id",
-        F.when(F.col("status") == "PENDING", F.col("d.decision_id")).alias("winner"),
-        F.when(F.col("status") == "PENDING", F.col("d.status")).otherwise(F.col("status")).alias("verdict"),
+        F.when(pending, F.col("d.decision_id")).alias("_winner"),
+        F.when(pending, F.col("d.status")).otherwise(F.col("status")).alias("_verdict"),
+        F.lit(True).alias("_known"),
+        # a ticket with very many decisions stands under several salts, and its decisions are dealt out among them
+        F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"),
     )
-    late = (
-        good.select("decision_id", "approval_id")
-        .join(known, "approval_id")
-        .filter(F.col("winner").isNull() | (F.col("decision_id") != F.col("winner")))
-        .select(
-            "decision_id", "approval_id",
-            F.concat(F.lit("This ticket has already been processed with verdict: "), F.col("verdict"), F.lit(".")).alias("error"),
-        )
+    crowded = first.where(F.col("_n") > HOT_TICKET).select("approval_id", F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("decision_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    checked = decisions.withColumn("_valid", valid).select("decision_id", "approval_id", "_valid").join(crowded, "approval_id", "left")
+    checked = checked.withColumn("_salt", salt).join(known, ["approval_id", "_salt"], "left")
+    processed = F.concat(F.lit("This ticket has already been processed with verdict: "), F.col("_verdict"), F.lit("."))
+    error = (
+        F.when(~F.col("_valid"), F.lit("Status must be either APPROVED or REJECTED"))
+        .when(F.col("_known").isNull(), F.lit("Human approval ticket not found."))
+        .when(F.col("_winner").isNull() | (F.col("decision_id") != F.col("_winner")), processed)
     )
-    return bad.unionByName(unknown).unionByName(late)
+    return checked.select("decision_id", "approval_id", error.alias("error")).filter(F.col("error").isNotNull())
 
 
 def sync_verdict(logs: DataFrame, tickets: DataFrame) -> DataFrame:
@@ -197,7 +208,8 @@ def primary_events(events: DataFrame) -> DataFrame:
 
 
 def ticket_view(tickets: DataFrame, logs: DataFrame, events: DataFrame) -> DataFrame:
-    """Review console rows: ticket, its log, and the primary event."""
+    """Review console rows: ticket, its log, and the primary event.  Only events of logs with a ticket are ranked."""
+    events = events.join(tickets.select("log_id"), "log_id", "left_semi")
     out = tickets.join(logs.select("log_id", "session_id", "risk"), "log_id", "left").join(
         primary_events(events), "log_id", "left"
     )

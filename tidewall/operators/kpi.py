@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewall.functions.scoring import places
 
@@ -107,23 +110,61 @@ TRENDS = (
 )
 
 
+def kth_text(df: DataFrame, key: str, k: int, step: int = 3) -> str:
+    """Exact k-th smallest (from 0) of a text column, by counting longer and longer beginnings."""
+    prefix = ""
+    while True:
+        n = len(prefix)
+        rows = df.select(F.col(key).cast("string").alias("v")).filter(F.startswith("v", F.lit(prefix)))
+        counts = rows.groupBy(F.substring("v", n + 1, step).alias("next")).count().collect()
+        for row in sorted(counts, key=lambda r: r["next"].encode()):
+            if k < row["count"]:
+                break
+            k -= row["count"]
+        prefix += row["next"]
+        if len(row["next"]) < step:
+            return prefix
+
+
+def _cut(logs: DataFrame) -> tuple[int, Column, Column]:
+    """Number of logs, and conditions for the earlier half of logs and of events.
+
+    One aggregate by day tells which day the middle lies in; only that day's rows are read again, by a range of `ts`.
+    """
+    kind = logs.schema["ts"].dataType.simpleString()
+    # wall-clock times stay wall-clock times: the session's zone has no part in their order
+    stamp = F.unix_micros(F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp") if kind == "timestamp_ntz" else F.col("ts"))
+    days = sorted((r["day"], r["count"]) for r in logs.filter("ts IS NOT NULL").groupBy(F.to_date("ts").alias("day")).count().collect())
+    n = sum(count for _, count in days)
+    if n <= 1:
+        return n, F.lit(True), F.lit(True)
+    k = n // 2 - 1
+    for day, count in days:
+        if k < count:
+            break
+        k -= count
+    ts, start = F.col("ts"), F.lit(day.isoformat()).cast(kind)
+    inside = logs.filter((ts >= start) & (ts < F.lit((day + timedelta(days=1)).isoformat()).cast(kind)))
+    micros = kth_smallest(inside, stamp, k)
+    cut = F.timestamp_micros(F.lit(micros))
+    if kind == "timestamp_ntz":
+        cut = F.lit((datetime(1970, 1, 1) + timedelta(microseconds=micros)).isoformat(sep=" ")).cast(kind)
+    before = inside.filter(ts < cut).count()
+    tied, rank = inside.filter(ts == cut), k - before
+    if isinstance(logs.schema["log_id"].dataType, T.IntegralType):
+        last = F.lit(kth_smallest(tied, F.col("log_id"), rank))
+    else:
+        last = F.lit(kth_text(tied, "log_id", rank))
+    return n, (ts < cut) | ((ts == cut) & (F.col("log_id") <= last)), ts <= cut
+
+
 def kpi_trend(logs: DataFrame, events: DataFrame) -> DataFrame:
     """Figures of the later half of the log against the earlier half: kpi, earlier, later, trend, direction.
 
     Logs are halved by row in (ts, log_id) order; events by whether their log's timestamp occurs in the earlier half.
+    Log ids are whole numbers or texts.
     """
-    stamp = F.unix_micros(F.col("ts").cast("timestamp"))
-    n = logs.count()
-    half = n // 2
-    if n > 1:
-        cut = kth_smallest(logs, stamp, half - 1)
-        before = logs.filter(stamp < cut).count()
-        tied = logs.filter(stamp == cut)
-        last_id = kth_smallest(tied, F.col("log_id"), half - 1 - before)
-        early_log = (stamp < cut) | ((stamp == cut) & (F.col("log_id") <= last_id))
-        early_event = stamp <= cut
-    else:
-        early_log = early_event = F.lit(True)
+    n, early_log, early_event = _cut(logs)
     halves = _facts(logs, events, early_log, early_event).groupBy("early").agg(
         *[F.sum(c).alias(c) for c in ("request", "block", *SOURCES)], F.avg("risk").alias("risk")
     )

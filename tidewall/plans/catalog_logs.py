@@ -46,10 +46,12 @@ def get_log(spark, sf_dir):
     return audit.get_log(_logs(spark, sf_dir), 42).drop("sanitized_input")
 
 
+def _tables(spark, sf_dir):
+    return _logs(spark, sf_dir), inputs.event_children(spark, sf_dir), inputs.event_tickets(spark, sf_dir)
+
+
 def _nested(spark, sf_dir):
-    return audit.logs_with_children(
-        _logs(spark, sf_dir), inputs.event_children(spark, sf_dir), inputs.event_tickets(spark, sf_dir)
-    )
+    return audit.logs_with_children(*_tables(spark, sf_dir))
 
 
 _NESTED = f"""{LOGS}, {KIDS}, {TICKETS},
@@ -76,14 +78,14 @@ AND (contains(lower(raw_input), 'k') OR contains(lower(session_id), 'k') OR cont
 ORDER BY ts DESC, log_id LIMIT 15""",
 )
 def feed_filter(spark, sf_dir):
-    return audit.feed_filter(
-        _nested(spark, sf_dir), action="BLOCK", detector="SQL Injection Detector", min_risk=0.85, user="SION-1", text="K"
+    return audit.feed(
+        *_tables(spark, sf_dir), action="BLOCK", detector="SQL Injection Detector", min_risk=0.85, user="SION-1", text="K"
     ).select("log_id", "ts", "risk", "action")
 
 
 @query("feed_filter_by_day", f"WITH {_NESTED} SELECT log_id, ts FROM nested WHERE CAST(ts AS DATE) = DATE '2024-01-09' ORDER BY ts DESC, log_id LIMIT 15")
 def feed_filter_by_day(spark, sf_dir):
-    return audit.feed_filter(_nested(spark, sf_dir), date="2024-01-09").select("log_id", "ts")
+    return audit.feed(*_tables(spark, sf_dir), date="2024-01-09").select("log_id", "ts")
 
 
 @query(
