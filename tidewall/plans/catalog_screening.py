@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewall import fixed
 from tidewall.functions.crypto import decrypt_col, encrypt_col
 from tidewall.functions.scoring import explain
+from tidewall.functions.shared import shared_folder
 from tidewall.functions.text import (
     char_sum, complexity, matched_tokens, preview, prompt_hash, short_hash, squash, text_profile,
 )
@@ -17,7 +18,7 @@ from tidewall.operators.threat import classify_threat
 from tidewall.plans import inputs, oracle
 from tidewall.plans.catalog import query
 from tidewall.plans.oracle import q
-from tidewall.sources.audit_store import log_rows
+from tidewall.sources.audit_store import log_rows, read_audit, write_audit
 from tidewall.sources.prompts import accept, decode_attachment
 
 D = "double"
@@ -162,6 +163,29 @@ def audit_logs(spark, sf_dir):
     return log_rows(_screened(spark, sf_dir), "prompt_id", "session_id", "ts", "prompt")
 
 
+@query(
+    "audit_round_trip",
+    f"""WITH {oracle.screened()}
+SELECT prompt_id AS log_id, session_id, ts, prompt AS raw_input, CAST(risk AS DOUBLE) AS risk, action,
+       CASE WHEN action = 'HUMAN_REVIEW' THEN 1 ELSE 0 END AS n_tickets, action <> 'ALLOW' AS has_events FROM screened""",
+)
+def audit_round_trip(spark, sf_dir):
+    """All prompts through the store in two batches of two runs, one of them replayed, read back with what hangs on them."""
+    prompts, store = inputs.prompts(spark, sf_dir), shared_folder(spark, "audit")
+    early = F.col("prompt_id") < prompts.agg(F.avg("prompt_id")).first()[0]
+    write_audit(prompts.where(early), store, "first", 0)
+    for _ in range(2):
+        write_audit(prompts.where(~early), store, "second", 0)
+    logs, events, tickets = read_audit(spark, store)
+    marked = events.where("agent_source = 'RISK_SCORE'").select("log_id", F.lit(True).alias("has_events")).distinct()
+    held = tickets.groupBy("log_id").agg(F.count(F.lit(1)).cast("int").alias("n_tickets"))
+    out = logs.join(marked, "log_id", "left").join(held, "log_id", "left")
+    return out.select(
+        "log_id", "session_id", "ts", "raw_input", "risk", "action", F.coalesce("n_tickets", F.lit(0)).alias("n_tickets"),
+        F.coalesce("has_events", F.lit(False)).alias("has_events"),
+    )
+
+
 @query(
     "review_tickets",
     f"WITH {oracle.screened()} SELECT prompt_id AS approval_id, prompt_id AS log_id, 'PENDING' AS status, ts AS created_at FROM screened WHERE action = 'HUMAN_REVIEW'",
