@@ -44,6 +44,8 @@ GRAM = 16
 CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 12 << 20
 BATCHES = 4
+#: Windows that a comparison holds at once.
+WINDOWS = 400_000
 _BLOCK = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
 _KEY_BITS = 40
@@ -425,7 +427,8 @@ def _fetch(shards: int, length: int):
     def send(number, path, parts):
         chunk = Chunk(path)
         lo, n, key = (np.concatenate(c) for c in zip(*parts))
-        by = np.argsort(key, kind="stable")
+        _, once = np.unique(lo, return_index=True)  # several batches may ask for the same run
+        by = once[np.argsort(key[once], kind="stable")]
         lo, n, key = lo[by].astype(np.int64), n[by], key[by]
         shard = (key * np.uint64(shards) >> np.uint64(_KEY_BITS)).astype(np.int64)
         bounds = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
@@ -456,21 +459,39 @@ def _compare(length: int):
             yield from compare(held)
 
     def compare(held):
-        windows = []
+        parts, total = [], 0
         for data in held:
             (number,) = struct.unpack_from("<q", data)
             key, order, lo, n, text = _unpack(data[8:], "<u8", "<i8", "<u4", np.uint8, np.uint8)
             n = n.astype(np.int64)
-            starts = np.cumsum(n + (length - 1)) - (n + (length - 1))
-            row = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            hashes = string_hashes(text, length)[starts[row] + step]
+            parts.append((number, key, order, lo, n, np.cumsum(n + (length - 1)) - (n + (length - 1)), text))
+            total += int(n.sum())
+        held.clear()
+        # In ranges of the anchor's hash, each of a bounded number of windows (and one anchor's).
+        low, high = min(int(p[1][0]) for p in parts), max(int(p[1][-1]) for p in parts) + 1
+        steps = -(-total // WINDOWS)
+        for k in range(steps):
+            yield from compare_range(parts, low + (high - low) * k // steps, low + (high - low) * (k + 1) // steps)
+
+    def compare_range(parts, low, high):
+        windows = []
+        for number, key, order, lo, n, starts, text in parts:
+            a, b = np.searchsorted(key, np.array([low, high], np.uint64))
+            if a == b:
+                continue
+            part, count = text[starts[a] : starts[b - 1] + n[b - 1] + length - 1], n[a:b]
+            row = np.repeat(np.arange(a, b), count)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            hashes = string_hashes(part, length)[starts[row] - starts[a] + step]
             windows.append((key[row], hashes, order[row], np.full(len(row), number), lo[row] + step))
+        if not windows:
+            return
         key, hashes, order, chunk, at = (np.concatenate(c) for c in zip(*windows))
+        windows.clear()
         by = np.lexsort((order, hashes, key))
-        key, hashes, order, chunk, at = (a[by] for a in (key, hashes, order, chunk, at))
+        key, hashes, order = key[by], hashes[by], order[by]
         first = _first(key, hashes)
-        cut = order > order[first][np.cumsum(first) - 1]
+        cut = by[order > order[first][np.cumsum(first) - 1]]
         yield from _by_chunk(_CUT, chunk[cut], at[cut], at[cut] + length)
 
     return run
