@@ -12,12 +12,19 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from tidewall.functions.shared import shared_folder
+
+BATCH_ROWS = 1000
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once an application: tasks import them by name."""
+    """Sends this package's modules to the executors, once an application: tasks import them by name.
+
+    Arrow batches are made of fewer rows than Spark's 10,000: a row here is a whole text.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -30,22 +37,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below `spark.checkpoint.dir`, which all executors see.
-
-    Where that is unset, a temporary folder serves, but only for a master of one process (tests).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="tidewall-")
-        base = _OWN[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table written to the shared folder: lineage ends here."""
     path = shared_folder(df.sparkSession, name)
