@@ -49,6 +49,7 @@ WINDOWS = 400_000
 _BLOCK = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
 _KEY_BITS = 40
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _LARGEST = np.iinfo(np.int64).max
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOUND = "kind int, chunk long, data binary, path string"
@@ -135,7 +136,9 @@ def sample_suffixes(buffer: bytes, ends: np.ndarray, length: int = LENGTH) -> tu
         lo = at[first]
         digest = xxhash.xxh3_64_intdigest
         run = [digest(view[a:b]) for a, b in zip(lo.tolist(), (lo + n + (length - 1)).tolist())]
-        out.append((least[first] >> np.uint64(24), np.array(run, np.uint64) & np.uint64((1 << 48) - 1), lo, n))
+        # The least of many hashes is small: mixed once more, so that ranges of it are even again.
+        key = (least[first] >> np.uint64(24)) * _MIX & np.uint64((1 << _KEY_BITS) - 1)
+        out.append((key, np.array(run, np.uint64) & np.uint64((1 << 48) - 1), lo, n))
     if not out:
         return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out))
