@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidewall.llm.common import get, utf8
 
 STATES = 250_000
-MEMORY = 400_000
+MEMORY = 550_000
 SPACE = r"\t-\r \x85\xa0  -     　"
 _SHARED: dict[tuple[str, str], "Encoder"] = {}
 
@@ -320,13 +320,9 @@ class Utf8Stream:
 
 def decode_stream(ids: Iterable[int], bytes_of: list[bytes], chunk: int = 4096) -> Iterator[str]:
     """Texts of successive chunks of ids; a character cut by two chunks comes with the second."""
-    stream, buffer = Utf8Stream(), []
-    for id in ids:
-        buffer.append(bytes_of[id])
-        if len(buffer) >= chunk:
-            yield stream.feed(b"".join(buffer))
-            buffer = []
-    yield stream.feed(b"".join(buffer))
+    stream, ids, token = Utf8Stream(), iter(ids), bytes_of.__getitem__
+    while part := b"".join(map(token, itertools.islice(ids, chunk))):
+        yield stream.feed(part)
     yield stream.close()
 
 
