@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
         F.col(id).cast("long").alias("_id")
     ).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("_third", F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(3)))
-    rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("text")).join(chosen, "_id")
+    rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("text")).join(
+        F.broadcast(chosen), "_id"  # ids and labels of `sample` rows at most; the texts are not moved
+    )
     rows = stored(rows, "toxicity-sample")
     shares = {(r["_third"], r["toxic"]) for r in rows.select("_third", "toxic").distinct().collect()}
     if len(shares) < 6:
