@@ -20,11 +20,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewall.llm.bpe import Encoder
+from tidewall.llm.bpe import Encoder, load_ranks
 from tidewall.llm.common import file_system, put, shared_folder, stored, utf8
 
 BLOCK_BYTES = 4 << 20
 FILE_BYTES = 64 << 20
+LONG_TEXT = 200_000
+_LIBRARY: dict = {}
+
+
+def _encode(ranks: str, pattern: str):
+    """Texts to 16-bit ids by the library of the rank files.  It recurses on very long runs of one kind of sign, so long
+    texts go through the transducer, which gives the same ids."""
+    if (ranks, pattern) not in _LIBRARY:
+        import tiktoken
+
+        _LIBRARY[ranks, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
+    library = _LIBRARY[ranks, pattern]
+
+    def run(text: str) -> np.ndarray:
+        if len(text) < LONG_TEXT:
+            return np.array(library.encode_ordinary(text), "<u2")
+        return np.frombuffer(Encoder.shared(ranks, pattern).encode(text), "<u4").astype("<u2")
+
+    return run
 
 
 def write_flat(
@@ -39,7 +58,7 @@ def write_flat(
     folder = folder or shared_folder(docs.sparkSession, "token-flat")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder.shared(ranks, pattern), TaskContext.get()
+        encode, task = _encode(ranks, pattern), TaskContext.get()
         end = np.array([end_id], "<u2").tobytes()
         number, out, size, ids = 0, [], 0, []
 
@@ -51,7 +70,7 @@ def write_flat(
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                encoded = np.frombuffer(encoder.encode(raw.decode()), "<u4").astype("<u2").tobytes() + end
+                encoded = encode(raw.decode()).tobytes() + end
                 out.append(encoded)
                 ids.append(doc_id)
                 size += len(encoded)
