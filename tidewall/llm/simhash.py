@@ -40,24 +40,30 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """A bit is set if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(raw, shingle, seed)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        total += bit_counts(hashes[at : at + _CHUNK])
+    return int(np.packbits(total[::-1] * 2 > len(hashes)).view(">u8")[0])
+
+
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle; fewer words are one shingle, none give none."""
     words = raw.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
     # The words with single spaces between them; a shingle is a stretch of that.
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.zeros(len(words), np.int64)
     np.cumsum(lengths[:-1] + 1, out=starts[1:])
     stops = (starts + lengths)[shingle - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    n = len(stops)
-    starts = starts.tolist()
-    for at in range(0, n, _CHUNK):
-        part = [digest(joined[a:b], seed) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK])]
-        total += bit_counts(np.array(part, np.uint64))
-    return int(np.packbits(total[::-1] * 2 > n).view(">u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops)), np.uint64, len(stops))
 
 
 def bit_counts(values: np.ndarray) -> np.ndarray:
