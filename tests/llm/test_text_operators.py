@@ -428,6 +428,35 @@ def test_suffix_levels_and_blocks(spark, monkeypatch):
     assert covered[0] == covered[1] == [*range(0, 2951), *range(3010, 8951)]
 
 
+def common_passage(n):
+    """A passage in all of `n` texts, which go on in ways of their own; some ways are shared by a few."""
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz     ", np.uint8)
+    own = [rng.choice(letters, 90).tobytes().decode() for _ in range(2 * n)]
+    passage = rng.choice(letters, 150).tobytes().decode()
+    return [(k, own[k] + passage + (own[n + k // 3][:20] + own[k][::-1] if k % 2 else own[n + k][:60])) for k in range(n)] + [(None, passage), (2, passage * 2)]
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_runs_of_one_anchor_are_dealt_out(spark, monkeypatch, batches):
+    """Each text has a run of its own where the common passage ends: their windows go to many tasks, with the same results."""
+    rows = common_passage(400)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = plain_removal([(i, t, None) for i, t in rows])
+    monkeypatch.setattr(suffix, "CROWDED", 150)
+    got = suffix.digests(suffix.remove_repeats(table, batches=batches)).collect()
+    assert sorted(map(str, map(tuple, got))) == expected
+    index = suffix.SuffixIndex(spark, 16)
+    index.add(table)
+    windows = {}
+    for shard, kind, data in index._windows(index._found[0]).collect():
+        if kind != suffix._SETTLED:
+            kinds = ("<u8", "<i8", "<u4", np.uint8, np.uint8) if kind == suffix._RUNS else ("<u8", "<i8", "<u4")
+            parts = suffix._unpack(data[8:], *kinds)
+            windows[shard] = windows.get(shard, 0) + (int(parts[3].sum(dtype=np.int64)) if kind == suffix._RUNS else len(parts[0]))
+    assert sum(windows.values()) > 2000 and max(windows.values()) < sum(windows.values()) / 8
+
+
 def test_clean_keeps_rows_and_columns(spark):
     docs = documents(spark)
     out = suffix.clean(docs)

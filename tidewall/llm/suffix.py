@@ -16,8 +16,10 @@ logarithmic number of times and there are a logarithmic number of levels.
 Matches.  A run that a smaller document has as a whole is removed as a whole; that settles nearly all.  Where runs of the
 same anchor differ, a common window may still lie in both (passages begin and end somewhere): these runs' bytes are read
 from the chunk files, and their windows compared one by one.  Whole arrays and texts are only ever read shard by shard
-and chunk by chunk, nothing is gathered by anchor or document: copies in a chunk are settled there, and what is left of a
-frequent passage is one entry a chunk.
+and chunk by chunk.  Whole runs that are copies in a chunk are settled there, so of a frequent run one entry a chunk is
+left.  Where a frequent passage ends, though, each document has a run of its own: those of one anchor are entries of some
+30 bytes in one shard.  Their windows, some thousand bytes a run, are not gathered by anchor: for an anchor with many
+runs a chunk hashes its windows, settles those that it has several times, and deals the others by anchor and window hash.
 
 Defined results: a null text is empty; documents of equal id do not remove from each other; a null id counts as larger
 than any other; passages within one document stay; an empty table gives no rows.
@@ -46,14 +48,19 @@ SHARD_BYTES = 12 << 20
 BATCHES = 4
 #: Windows that a comparison holds at once.
 WINDOWS = 400_000
+#: An anchor with more different runs has its windows dealt by their hashes.
+CROWDED = 1000
 _BLOCK = 1 << 19
+_RUNS_AT_ONCE = 1 << 14
 _POSITION = np.uint64((1 << 24) - 1)
 _KEY_BITS = 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LARGEST = np.iinfo(np.int64).max
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOUND = "kind int, chunk long, data binary, path string"
-_CUT, _ASK, _CHUNK = 0, 1, 2
+_CUT, _ASK, _CHUNK, _ASK_MANY = 0, 1, 2, 3
+#: What a chunk sends to be compared: bytes of runs, windows as hashes, stretches that it has settled.
+_RUNS, _HASHES, _SETTLED = 0, 1, 2
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -274,7 +281,7 @@ class SuffixIndex:
         return run
 
     def _scanner(self, level: str):
-        older, length = [folder for _, folder in self._levels], self._length
+        older, length, crowded = [folder for _, folder in self._levels], self._length, CROWDED
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, held = None, []
@@ -317,9 +324,12 @@ class SuffixIndex:
             least, most = np.minimum.reduceat(order, starts), np.maximum.reduceat(np.where(is_new, order, -_LARGEST), starts)
             several = np.add.reduceat(_first(key, run).astype(np.int64), starts) > 1
             asked = np.repeat(several & (most > least), sizes)
-            # Of the older ones only those below the largest new one can matter.
-            asked &= is_new | (order < np.repeat(most, sizes))
-            yield from _by_chunk(_ASK, chunk[asked], lo[asked].astype(np.int64), n[asked].astype(np.int64), key[asked])
+            # Of the older ones only those below the largest new one can matter.  But all runs of an anchor must be dealt
+            # in one way, also those that an earlier batch asked for when they were few.
+            many = np.repeat(sizes > crowded, sizes)
+            asked &= is_new | (order < np.repeat(most, sizes)) | many
+            for kind, which in ((_ASK, asked & ~many), (_ASK_MANY, asked & many)):
+                yield from _by_chunk(kind, chunk[which], lo[which].astype(np.int64), n[which].astype(np.int64), key[which])
 
         return run
 
@@ -351,10 +361,14 @@ class SuffixIndex:
         found = self._found[0]
         for more in self._found[1:]:
             found = found.union(more)
-        asked = found.where(F.col("kind") != _CUT).repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
-        windows = asked.mapInArrow(_fetch(self._shards, self._length), "shard int, data binary").repartition(self._shards, "shard")
-        compared = stored(windows.sortWithinPartitions("shard").mapInArrow(_compare(self._length), _FOUND), "suffix-compared")
-        return found.where(F.col("kind") != _ASK).union(compared)
+        compared = stored(self._windows(found).mapInArrow(_compare(self._length), _FOUND), "suffix-compared")
+        return found.where(F.col("kind").isin(_CUT, _CHUNK)).union(compared)
+
+    def _windows(self, found: DataFrame) -> DataFrame:
+        asked = found.where(F.col("kind") != _CUT).withColumn("_first", F.col("kind") == _CHUNK)
+        asked = asked.repartition("chunk").sortWithinPartitions("chunk", F.desc("_first")).drop("_first")
+        windows = asked.mapInArrow(_fetch(self._shards, self._length), "shard int, kind int, data binary")
+        return windows.repartition(self._shards, "shard").sortWithinPartitions("shard")
 
     def removed(self) -> DataFrame:
         """Rows (`doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept`, `spans`, `carry`) for every document of all batches.
@@ -410,7 +424,7 @@ def _by_chunk(kind: int, chunk: np.ndarray, a: np.ndarray, b: np.ndarray, key: n
 
 
 def _fetch(shards: int, length: int):
-    """Per chunk: the bytes of the runs asked for, dealt by anchor."""
+    """Per chunk: the bytes of the runs asked for, dealt by anchor; of crowded anchors the windows, dealt by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, texts, parts = None, None, []
@@ -423,25 +437,64 @@ def _fetch(shards: int, length: int):
                 if kind == _CHUNK:
                     texts = path
                 else:
-                    parts.append(_unpack(data, "<u4", np.uint8, "<u8"))
+                    lo, n, key = _unpack(data, "<u4", np.uint8, "<u8")
+                    parts.append((lo, n, key, np.full(len(lo), kind == _ASK_MANY)))
         if parts:
             yield from send(chunk, texts, parts)
 
     def send(number, path, parts):
         chunk = Chunk(path)
-        lo, n, key = (np.concatenate(c) for c in zip(*parts))
-        _, once = np.unique(lo, return_index=True)  # several batches may ask for the same run
-        by = once[np.argsort(key[once], kind="stable")]
-        lo, n, key = lo[by].astype(np.int64), n[by], key[by]
+        lo, n, key, many = (np.concatenate(c) for c in zip(*parts))
+        # Several batches may ask for the same run; if one of them finds its anchor crowded, it is.
+        by = np.lexsort((~many, lo))
+        by = by[np.append(True, lo[by][1:] != lo[by][:-1])]
+        by = by[np.argsort(key[by], kind="stable")]
+        lo, n, key, many = lo[by].astype(np.int64), n[by].astype(np.int64), key[by], many[by]
+        rows = [*runs(chunk, lo[~many], n[~many], key[~many]), *hashes(chunk, lo[many], n[many], key[many], number)]
+        if rows:
+            names, kinds, blobs = zip(*rows)
+            blobs = [struct.pack("<q", number) + data for data in blobs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "kind", "data"]
+            )
+
+    def pieces(shard):
+        bounds = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else [0]
+        return zip(bounds[:-1], bounds[1:])
+
+    def runs(chunk, lo, n, key):
         shard = (key * np.uint64(shards) >> np.uint64(_KEY_BITS)).astype(np.int64)
-        bounds = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
-        names, blobs = [], []
-        for a, b in zip(bounds[:-1], bounds[1:]):
+        for a, b in pieces(shard):
             text = b"".join(chunk.buffer[s : s + c + length - 1] for s, c in zip(lo[a:b].tolist(), n[a:b].tolist()))
-            data = _pack(key[a:b], chunk.order_at(lo[a:b]), lo[a:b].astype("<u4"), n[a:b], np.frombuffer(text, np.uint8))
-            names.append(int(shard[a]))
-            blobs.append(struct.pack("<q", number) + data)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "data"])
+            data = _pack(key[a:b], chunk.order_at(lo[a:b]), lo[a:b].astype("<u4"), n[a:b].astype(np.uint8), np.frombuffer(text, np.uint8))
+            yield int(shard[a]), _RUNS, data
+
+    def hashes(chunk, lo, n, key, number):
+        if not len(lo):
+            return
+        found = []
+        for a in range(0, len(lo), _RUNS_AT_ONCE):
+            part = slice(a, a + _RUNS_AT_ONCE)
+            text = np.frombuffer(b"".join(chunk.buffer[s : s + c + length - 1] for s, c in zip(lo[part].tolist(), n[part].tolist())), np.uint8)
+            row = np.repeat(np.arange(len(n[part])), n[part])
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            starts = np.cumsum(n[part] + (length - 1)) - (n[part] + (length - 1))
+            # One number for anchor and window.
+            mixed = string_hashes(text, length)[starts[row] + step] ^ key[part][row] * _MIX
+            found.append(((mixed ^ mixed >> np.uint64(31)) * _MIX, lo[part][row] + step))
+        window, at = (np.concatenate(c) for c in zip(*found))
+        order = chunk.order_at(at)
+        by = np.lexsort((order, window))
+        window, at, order = window[by], at[by], order[by]
+        new = np.append(True, window[1:] != window[:-1])
+        cut = order > order[new][np.cumsum(new) - 1]
+        if cut.any():
+            a, b = _merged(at[cut], at[cut] + length)
+            yield number % shards, _SETTLED, _pack(a.astype("<u4"), b.astype("<u4"))
+        window, at, order = window[~cut], at[~cut], order[~cut]
+        shard = ((window >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        for a, b in pieces(shard):
+            yield int(shard[a]), _HASHES, _pack(window[a:b], order[a:b], at[a:b].astype("<u4"))
 
     return run
 
@@ -450,43 +503,62 @@ def _compare(length: int):
     """Per shard: windows of runs with one anchor; those of a larger document than the smallest that has them go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
+        shard, held = None, {_RUNS: [], _HASHES: []}
         for batch in batches:
-            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if s != shard and held:
+            for s, kind, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if s != shard:
                     yield from compare(held)
-                    held = []
                 shard = s
-                held.append(data)
-        if held:
-            yield from compare(held)
+                if kind == _SETTLED:
+                    yield _rows([(_CUT, struct.unpack_from("<q", data)[0], data[8:], None)])
+                else:
+                    held[kind].append(data)
+        yield from compare(held)
 
     def compare(held):
-        parts, total = [], 0
-        for data in held:
-            (number,) = struct.unpack_from("<q", data)
-            key, order, lo, n, text = _unpack(data[8:], "<u8", "<i8", "<u4", np.uint8, np.uint8)
-            n = n.astype(np.int64)
-            parts.append((number, key, order, lo, n, np.cumsum(n + (length - 1)) - (n + (length - 1)), text))
-            total += int(n.sum())
-        held.clear()
-        # In ranges of the anchor's hash, each of a bounded number of windows (and one anchor's).
-        low, high = min(int(p[1][0]) for p in parts), max(int(p[1][-1]) for p in parts) + 1
-        steps = -(-total // WINDOWS)
-        for k in range(steps):
-            yield from compare_range(parts, low + (high - low) * k // steps, low + (high - low) * (k + 1) // steps)
-
-    def compare_range(parts, low, high):
-        windows = []
-        for number, key, order, lo, n, starts, text in parts:
-            a, b = np.searchsorted(key, np.array([low, high], np.uint64))
-            if a == b:
+        for kind, opened, take in ((_RUNS, open_runs, windows_of_runs), (_HASHES, open_hashes, windows_of_hashes)):
+            parts, total = [], 0
+            for data in held[kind]:
+                (number,) = struct.unpack_from("<q", data)
+                part, count = opened(data[8:])
+                parts.append((number, *part))
+                total += count
+            held[kind].clear()
+            if not parts:
                 continue
-            part, count = text[starts[a] : starts[b - 1] + n[b - 1] + length - 1], n[a:b]
-            row = np.repeat(np.arange(a, b), count)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            hashes = string_hashes(part, length)[starts[row] - starts[a] + step]
-            windows.append((key[row], hashes, order[row], np.full(len(row), number), lo[row] + step))
+            # In ranges of the anchor's hash, each of a bounded number of windows (and one anchor's, which is not crowded),
+            # or of the windows' hashes.
+            low, high = min(int(p[1][0]) for p in parts), max(int(p[1][-1]) for p in parts) + 1
+            steps = -(-total // WINDOWS)
+            for k in range(steps):
+                yield from compare_range(parts, take, low + (high - low) * k // steps, low + (high - low) * (k + 1) // steps)
+
+    def open_runs(data):
+        key, order, lo, n, text = _unpack(data, "<u8", "<i8", "<u4", np.uint8, np.uint8)
+        n = n.astype(np.int64)
+        return (key, order, lo, n, np.cumsum(n + (length - 1)) - (n + (length - 1)), text), int(n.sum())
+
+    def open_hashes(data):
+        window, order, at = _unpack(data, "<u8", "<i8", "<u4")
+        return (window, order, at), len(window)
+
+    def windows_of_runs(a, b, number, key, order, lo, n, starts, text):
+        part, count = text[starts[a] : starts[b - 1] + n[b - 1] + length - 1], n[a:b]
+        row = np.repeat(np.arange(a, b), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        hashes = string_hashes(part, length)[starts[row] - starts[a] + step]
+        return key[row], hashes, order[row], np.full(len(row), number), lo[row] + step
+
+    def windows_of_hashes(a, b, number, window, order, at):
+        return window[a:b], window[a:b], order[a:b], np.full(b - a, number), at[a:b].astype(np.int64)
+
+    def compare_range(parts, take, low, high):
+        windows = []
+        for part in parts:
+            a = np.searchsorted(part[1], np.uint64(low))
+            b = len(part[1]) if high > int(part[1][-1]) else np.searchsorted(part[1], np.uint64(high))
+            if a < b:
+                windows.append(take(a, b, *part))
         if not windows:
             return
         key, hashes, order, chunk, at = (np.concatenate(c) for c in zip(*windows))
