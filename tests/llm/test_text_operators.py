@@ -451,12 +451,25 @@ def test_runs_of_one_anchor_are_dealt_out(spark, monkeypatch, batches):
     windows = {}
     for shard, kind, data in index._windows(index._found[0]).collect():
         if kind != suffix._SETTLED:
-            kinds = ("<u8", "<i8", "<u4", np.uint8, np.uint8) if kind == suffix._RUNS else ("<u8", "<i8", "<u4")
+            kinds = ("<u8", "<i8", "<u4", "<u4", np.uint8) if kind == suffix._RUNS else ("<u8", "<i8", "<u4")
             parts = suffix._unpack(data[8:], *kinds)
             windows[shard] = windows.get(shard, 0) + (int(parts[3].sum(dtype=np.int64)) if kind == suffix._RUNS else len(parts[0]))
     assert sum(windows.values()) > 2000 and max(windows.values()) < sum(windows.values()) / 8
 
 
+def test_long_passages(spark):
+    """Runs of more than 255 windows, whole and in parts."""
+    rng = np.random.default_rng(12)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    passage = "a" * 40 + rng.choice(letters, 2500).tobytes().decode()
+    texts = [passage, "x" + passage, passage[300:2000] + "y", passage[100:900] + passage[700:1500], passage[-700:]]
+    rows = [(k, t, None) for k, t in enumerate(texts)]
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    for length in (270, 400, 600):
+        got = suffix.digests(suffix.remove_repeats(table, batches=2, length=length)).collect()
+        assert sorted(map(str, map(tuple, got))) == plain_removal(rows, length)
+
+
 def test_clean_keeps_rows_and_columns(spark):
     docs = documents(spark)
     out = suffix.clean(docs)

@@ -257,7 +257,7 @@ class SuffixIndex:
                     for s in range(shards):
                         a, b = bounds[s], bounds[s + 1]
                         if a < b:
-                            data = _pack(np.diff(key[a:b], prepend=np.uint64(0)), _narrow(run[a:b]), order[a:b], lo[a:b].astype("<u4"), n[a:b].astype(np.uint8))
+                            data = _pack(np.diff(key[a:b], prepend=np.uint64(0)), _narrow(run[a:b]), order[a:b], lo[a:b].astype("<u4"), n[a:b].astype("<u4"))
                             rows.append((s, _ASK, data, None))
                 columns = list(zip(*rows))
                 return pa.RecordBatch.from_arrays(
@@ -302,7 +302,7 @@ class SuffixIndex:
         def scan(shard, held):
             parts = []
             for chunk, data in held:
-                step, run, order, lo, n = _unpack(data, "<u8", np.uint8, "<i8", "<u4", np.uint8)
+                step, run, order, lo, n = _unpack(data, "<u8", np.uint8, "<i8", "<u4", "<u4")
                 parts.append((np.cumsum(step, dtype=np.uint64), _wide(run), order, np.full(len(lo), chunk), lo, n))
             held.clear()
             fresh = [np.concatenate(c) for c in zip(*parts)]
@@ -384,7 +384,7 @@ def _level_file(folder: str, shard: int) -> str:
 
 
 def _level(key, run, order, chunk, lo, n) -> bytes:
-    return _pack(np.diff(key, prepend=np.uint64(0)), _narrow(run), order, chunk, lo.astype("<u4"), n.astype(np.uint8))
+    return _pack(np.diff(key, prepend=np.uint64(0)), _narrow(run), order, chunk, lo.astype("<u4"), n.astype("<u4"))
 
 
 def _read_level(folder: str, shard: int) -> list[np.ndarray]:
@@ -392,8 +392,8 @@ def _read_level(folder: str, shard: int) -> list[np.ndarray]:
     try:
         data = get(_level_file(folder, shard))
     except FileNotFoundError:
-        return [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint8)]
-    step, run, order, chunk, lo, n = _unpack(data, "<u8", np.uint8, "<i8", "<i8", "<u4", np.uint8)
+        return [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint32)]
+    step, run, order, chunk, lo, n = _unpack(data, "<u8", np.uint8, "<i8", "<i8", "<u4", "<u4")
     return [np.cumsum(step, dtype=np.uint64), _wide(run), order, chunk, lo, n]
 
 
@@ -417,7 +417,7 @@ def _by_chunk(kind: int, chunk: np.ndarray, a: np.ndarray, b: np.ndarray, key: n
             x, y = _merged(a[s:e], b[s:e])
             data = _pack(x.astype("<u4"), y.astype("<u4"))
         else:
-            data = _pack(a[s:e].astype("<u4"), b[s:e].astype(np.uint8), key[s:e])
+            data = _pack(a[s:e].astype("<u4"), b[s:e].astype("<u4"), key[s:e])
         rows.append((kind, int(chunk[s]), data, None))
     if rows:
         yield _rows(rows)
@@ -437,7 +437,7 @@ def _fetch(shards: int, length: int):
                 if kind == _CHUNK:
                     texts = path
                 else:
-                    lo, n, key = _unpack(data, "<u4", np.uint8, "<u8")
+                    lo, n, key = _unpack(data, "<u4", "<u4", "<u8")
                     parts.append((lo, n, key, np.full(len(lo), kind == _ASK_MANY)))
         if parts:
             yield from send(chunk, texts, parts)
@@ -466,7 +466,7 @@ def _fetch(shards: int, length: int):
         shard = (key * np.uint64(shards) >> np.uint64(_KEY_BITS)).astype(np.int64)
         for a, b in pieces(shard):
             text = b"".join(chunk.buffer[s : s + c + length - 1] for s, c in zip(lo[a:b].tolist(), n[a:b].tolist()))
-            data = _pack(key[a:b], chunk.order_at(lo[a:b]), lo[a:b].astype("<u4"), n[a:b].astype(np.uint8), np.frombuffer(text, np.uint8))
+            data = _pack(key[a:b], chunk.order_at(lo[a:b]), lo[a:b].astype("<u4"), n[a:b].astype("<u4"), np.frombuffer(text, np.uint8))
             yield int(shard[a]), _RUNS, data
 
     def hashes(chunk, lo, n, key, number):
@@ -534,7 +534,7 @@ def _compare(length: int):
                 yield from compare_range(parts, take, low + (high - low) * k // steps, low + (high - low) * (k + 1) // steps)
 
     def open_runs(data):
-        key, order, lo, n, text = _unpack(data, "<u8", "<i8", "<u4", np.uint8, np.uint8)
+        key, order, lo, n, text = _unpack(data, "<u8", "<i8", "<u4", "<u4", np.uint8)
         n = n.astype(np.int64)
         return (key, order, lo, n, np.cumsum(n + (length - 1)) - (n + (length - 1)), text), int(n.sum())
 
