@@ -478,6 +478,20 @@ def test_clean_keeps_rows_and_columns(spark):
     assert out.groupBy("lang", "source", "n_chars").count().exceptAll(docs.groupBy("lang", "source", "n_chars").count()).count() == 0
 
 
+def test_clean_keeps_other_columns_as_they_are(spark):
+    docs = documents(spark).where("doc_id IS NOT NULL").select(
+        "doc_id", "text", (F.col("doc_id") % 2).alias("_null"), F.lit("x").alias("__NULL"),
+        F.timestamp_micros(F.lit(1_700_000_000_123_456) + F.col("doc_id")).alias("seen"),
+        F.timestamp_micros(F.lit(-4_000_000_000_123_457)).alias("old"),
+        F.array(F.expr("timestamp_ntz'2024-02-29 01:02:03.000007'")).alias("local"),
+    )
+    out = suffix.clean(docs)
+    assert out.dtypes == docs.dtypes
+    assert out.where("text IS NULL").count() == docs.where("text IS NULL").count() > 0
+    others = [c for c in docs.columns if c != "text"]
+    assert sorted(map(str, out.select(others).collect())) == sorted(map(str, docs.select(others).collect()))
+
+
 def test_empty_tables(spark):
     none = documents(spark, empty=True)
     assert mixing.mix(none).count() == 0

@@ -58,6 +58,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LARGEST = np.iinfo(np.int64).max
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOUND = "kind int, chunk long, data binary, path string"
+#: Timestamps as JSON with all their digits; offsets of old times have seconds.
+_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 _CUT, _ASK, _CHUNK, _ASK_MANY = 0, 1, 2, 3
 #: What a chunk sends to be compared: bytes of runs, windows as hashes, stretches that it has settled.
 _RUNS, _HASHES, _SETTLED = 0, 1, 2
@@ -647,17 +649,20 @@ def clean(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options)
     """The same rows and columns with the repeated passages cut out of the text; of a character that is cut in two
     nothing stays, and a null text stays null."""
     others = [c for c in docs.columns if c not in (id, text)]
-    beside = F.struct(F.col(text).isNull().alias("_null"), *others)
-    kept = remove_repeats(docs, id=id, text=text, carry=F.to_json(beside), **options)
+    null = "_null"
+    while null in {c.lower() for c in others}:
+        null = f"_{null}"
+    beside = F.struct(F.col(text).isNull().alias(null), *others)
+    kept = remove_repeats(docs, id=id, text=text, carry=F.to_json(beside, _FORMATS), **options)
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
         return pa.array([raw.decode("utf-8", "ignore") for raw in utf8(column)], pa.string())
 
     schema = docs.select(beside.alias("_")).schema["_"].dataType
-    rows = kept.select(F.col("doc_id"), decoded("kept").alias("_kept"), F.from_json("carry", schema).alias("_beside"))
-    back = {id: F.col("doc_id"), text: F.when(~F.col("_beside._null"), F.col("_kept"))} | {c: F.col(f"_beside.`{c}`") for c in others}
-    return rows.select(*(back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    rows = kept.select(F.col("doc_id"), decoded("kept").alias("_kept"), F.from_json("carry", schema, _FORMATS).alias("_beside"))
+    back = {id: F.col("doc_id"), text: F.when(~F.col(f"_beside.{null}"), F.col("_kept"))} | {c: F.col(f"_beside.`{c}`") for c in others}
+    return rows.select(*((back[c] if c in others else back[c].cast(docs.schema[c].dataType)).alias(c) for c in docs.columns))
 
 
 def digests(removed: DataFrame) -> DataFrame:
