@@ -105,6 +105,17 @@ def test_nearest_on_awkward_vectors(spark):
     assert got[300][:4] == expected[300][:4]
 
 
+def test_many_vectors_of_equal_cosine(spark):
+    """Multiples of a vector by powers of two: more than are needed, and the smallest ids are the answer."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=6)
+    rows = [(int(i), (base * 2.0**k).tolist()) for k, i in enumerate(rng.permutation(60))]
+    rows += [(100 + k, rng.normal(size=6).tolist()) for k in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = [tuple(r)[:3] for r in ann.nearest(table, every=1).where("query_id < 60").orderBy("query_id", "rank").collect()]
+    assert got == [(q, n + 1, i) for q in range(60) for n, i in enumerate([i for i in range(6) if i != q][:5])]
+
+
 def test_few_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [tuple(r)[:3] for r in ann.nearest(table).orderBy("query_id", "rank").collect()]

@@ -38,6 +38,9 @@ MOST_PARTS = 48
 BLOCK = 1024
 QUERY_BLOCK = 256
 RECALL = 0.96
+#: How far a product of a matrix may be from the exact measure, and how many pairs are measured at once.
+TOLERANCE = 1e-9
+PAIRS = 1 << 14
 
 
 def usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
@@ -210,15 +213,17 @@ class Index:
                     x = vectors.values.to_numpy().reshape(len(reps), -1)
                     q_norm, x_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
                     similar = (q / q_norm[:, None]) @ (x / x_norm[:, None]).T
-                    # A few more than needed by the product, whose last digits depend on the place in the matrix; then
-                    # the exact measure, row by row, and ties to the smaller id.
-                    wide = min(most + 4, len(reps))
-                    near = np.argpartition(-similar, wide - 1, axis=1)[:, :wide]
-                    at = np.repeat(np.arange(len(names)), wide)
-                    near = near.ravel()
-                    score = (q[at] * x[near]).sum(axis=1) / (q_norm[at] * x_norm[near])
+                    # All that come near the last one needed by the product, whose last digits depend on the place in
+                    # the matrix; then the exact measure, row by row, and ties to the smaller id.
+                    needed = min(most, len(reps))
+                    last = -np.partition(-similar, needed - 1, axis=1)[:, needed - 1]
+                    at, near = np.nonzero(~(similar < last[:, None] - TOLERANCE))
+                    score = np.empty(len(at))
+                    for a in range(0, len(at), PAIRS):
+                        i, j = at[a : a + PAIRS], near[a : a + PAIRS]
+                        score[a : a + PAIRS] = (q[i] * x[j]).sum(axis=1) / (q_norm[i] * x_norm[j])
                     by = np.lexsort((reps[near], -score, at))
-                    rank = np.arange(len(by)) % wide
+                    rank = np.arange(len(by)) - np.searchsorted(at, at)
                     by = by[rank < most]
                     chosen = near[by]
                     yield pa.RecordBatch.from_arrays(
