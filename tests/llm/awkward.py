@@ -4,6 +4,13 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp string, _hash long, count long"
 
+#: Names that operators use inside.
+CLASHING = (
+    "_source _words _rest _cut _third _id _whole _weight _target _vector _sum _s _in _cell _raw _first _spent _kept _features _row "
+    "_calibrated _at _null _beside _score _times _time _f0 row nth order group fingerprint component component_id first times score "
+    "kept carry spans chunk shard kind data a.b"
+).split()
+
 
 def documents(spark, empty=False):
     rng = random.Random(5)

@@ -4,15 +4,19 @@ import gzip
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
-from awkward import documents
+import tiktoken
+from awkward import CLASHING, documents
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidewall.llm import ann, mixing, queries, simhash, suffix, toxicity, warc
+from test_text_operators import RANKS, plain_components, plain_fingerprint, plain_masks
+from tidewall.llm import ann, bpe, mixing, queries, suffix, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -165,9 +169,9 @@ def test_toxicity_on_awkward_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(0, 100)] + [(None, 1, 1), (3, None, 1)], "doc_id long, toxic int, text int")
     scored = toxicity.fit(docs, labels).score(docs)
-    assert scored.count() == docs.count() and scored.where("_score IS NULL").count() == 0
-    assert toxicity.fit(docs, labels.where("toxic = 1")).score(docs).where("_score = 1").count() == docs.count()
-    assert toxicity.fit(docs, labels.limit(0)).score(docs).where("_score = 0").count() == docs.count()
+    assert scored.count() == docs.count() and scored.where("score IS NULL").count() == 0
+    assert toxicity.fit(docs, labels.where("toxic = 1")).score(docs).where("score = 1").count() == docs.count()
+    assert toxicity.fit(docs, labels.limit(0)).score(docs).where("score = 0").count() == docs.count()
     assert toxicity.fit(docs.limit(0), labels).score(docs.limit(0)).count() == 0
 
 
@@ -183,27 +187,51 @@ def test_stages_on_awkward_rows(spark, tmp_path):
             out = stage(spark, kind, str(tmp_path))
             assert out.columns == docs.columns, name
             assert out.count() <= 3 * kind.count()
+            # Columns named as the stages name their own come out as they went in.
+            clashing = stage(spark, kind.withColumns({c: F.lit(777) for c in CLASHING}), str(tmp_path))
+            assert clashing.columns == docs.columns + CLASHING, name
+            assert sorted(map(str, clashing.select(docs.columns).collect())) == sorted(map(str, out.collect())), name
+            assert clashing.where(" OR ".join(f"`{c}` IS DISTINCT FROM 777" for c in CLASHING)).count() == 0, name
         assert corpus_pipeline.encode(spark, kind, str(tmp_path)).count() == kind.count()
 
 
 def test_pipeline(spark):
-    """Each stage's rows against its operator on the rows of the stage before."""
-    docs = queries.table(spark, SF, "documents")
-    current = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, current = current, stage(spark, current, SF).cache()
+    """Each stage by a plain version on the rows of the stage before; toxicity by its own scores."""
+    docs = queries.table(spark, SF2, "documents")
+    labels = queries.table(spark, SF2, "labels")
+    before, current = None, docs.cache()
+    for name, stage in corpus_pipeline.STAGES:
+        before, current = current, stage(spark, current, SF2).cache()
+        rows = sorted(map(tuple, before.select("doc_id", "text", "source").collect()))
+        got = current.collect()
+        if name != "byte_bpe":
+            assert current.columns == docs.columns
+        if name == "toxicity":
+            scores = toxicity.fit(docs, labels).score(docs).select("row.doc_id", "score").collect()
+            assert sorted(r["doc_id"] for r in got) == sorted(i for i, score in scores if score < 0.5)
+            assert 0.8 * len(rows) < len(got) < len(rows)
         if name == "simhash_near_dedup":
-            groups = simhash.near_duplicates(before)
-            assert current.count() == groups.select("component_id").distinct().count()
+            fps = {i: plain_fingerprint(t) for i, t, _ in rows}
+            of, first = plain_components(fps.values()), {}
+            for i in sorted(fps):
+                first.setdefault(of[fps[i]], i)
+            assert sorted(r["doc_id"] for r in got) == sorted(first.values())
         if name == "suffix_array_dedup":
-            sizes = suffix.remove_repeats(before).agg(F.sum("n_bytes") - F.sum("n_removed")).first()[0]
-            assert 0 <= sizes - current.agg(F.sum(F.octet_length("text"))).first()[0] <= 6 * before.count()
+            kept = {i: bytes(b for b, m in zip(raw, mask) if not m).decode("utf-8", "ignore") for i, raw, mask in plain_masks(rows)}
+            assert {r["doc_id"]: r["text"] for r in got} == kept
+            assert all(r["n_chars"] == len(r["text"]) for r in got)
         if name == "mixing":
-            assert current.count() == mixing.mix(before).agg(F.sum("repeats")).first()[0]
-    more = queries.table(spark, SF2, "documents")
-    assert 0.8 * more.count() < corpus_pipeline.drop_toxic(spark, more, SF2).count() < more.count()
-    final = corpus_pipeline.encode(spark, current, SF)
-    assert final.count() == current.count()
+            times = {r["doc_id"]: r["repeats"] for r in mixing.mix(before).collect()}
+            texts = {i: t for i, t, _ in rows}
+            assert Counter(r["doc_id"] for r in got) == Counter({i: n for i, n in times.items() if n})
+            assert all(r["text"] == texts[r["doc_id"]] for r in got)
+        if name == "byte_bpe":
+            library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+            expected = []
+            for i, t, _ in rows:
+                ids = np.array(library.encode_ordinary(t), "<u4").tobytes()
+                expected.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), ids))
+            assert sorted(map(tuple, got)) == sorted(expected)
 
 
 def test_registered():

@@ -12,7 +12,7 @@ from awkward import documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewall.llm import bpe, components, digest, mixing, nearcopies, queries, simhash, suffix, tokencount, tokenfile, words
+from tidewall.llm import bpe, components, digest, mixing, queries, simhash, suffix, tokencount, tokenfile, words
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -262,79 +262,6 @@ def test_components_of_chains_and_stars(spark):
     assert out == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
 
 
-# near copies
-
-
-def plain_shingles(text):
-    parts = ("".join(c.lower() if c.isascii() else c for c in text or "")).encode().split()
-    return frozenset(tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))) if parts else frozenset()
-
-
-def plain_survivors(rows):
-    """The smallest id of each group, by comparing all pairs; None of a group without ids."""
-    sets, first = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
-    posted = {}
-    for k, held in enumerate(sets):
-        for s in held or [None]:
-            posted.setdefault(s, []).append(k)
-
-    def root(k):
-        while first[k] != k:
-            k = first[k]
-        return k
-
-    for k, held in enumerate(sets):
-        for other in {o for s in held or [None] for o in posted[s] if o < k}:
-            both = len(held & sets[other])
-            if 5 * both >= 4 * (len(held) + len(sets[other]) - both):
-                a, b = root(k), root(other)
-                first[max(a, b)] = min(a, b)
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        least.setdefault(root(k), []).append(i)
-    return sorted(str(min((i for i in ids if i is not None), default=None)) for ids in least.values())
-
-
-def edited(rng, words, spots):
-    """The words with `spots` of them replaced, far apart: each takes five shingles."""
-    out = list(words)
-    for k in rng.choice(len(words) // 6 - 1, spots, replace=False):
-        out[6 * int(k) + 5] = f"w{rng.integers(1 << 40)}"
-    return out
-
-
-@pytest.mark.parametrize("hot", [1000, 7])
-def test_near_copies_like_all_pairs(spark, monkeypatch, hot):
-    """Copies on both sides of 0.8, chains of them, one large group of near copies, boilerplate shared by texts that are none."""
-    monkeypatch.setattr(nearcopies, "HOT", hot)
-    rng = np.random.default_rng(6)
-    texts = []
-    for size in (60, 150, 240, 600):
-        for _ in range(8):
-            base = [f"w{rng.integers(1 << 40)}" for _ in range(size)]
-            texts.append(base)
-            texts += [edited(rng, base, max(1, round(size * share))) for share in (0.003, 0.01, 0.018, 0.021, 0.022, 0.024, 0.03, 0.05)]
-    chain = texts[9]
-    for _ in range(6):
-        texts.append(chain := edited(rng, chain, 1))
-    crowd, shared = texts[18 + 27], texts[18]
-    texts += [edited(rng, crowd, 1) for _ in range(60)]
-    texts += [shared + [f"w{rng.integers(1 << 40)}" for _ in range(int(rng.integers(10, 60)))] for _ in range(40)]
-    order = rng.permutation(len(texts)).tolist()
-    rows = [(k, " ".join(texts[o])) for k, o in enumerate(order)]
-    rows += [(None, rows[0][1]), (None, "no id here at all at all"), (None, "No ID here at all at  all"), (3, rows[3][1]), (9000, ""), (9001, None)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [r["doc_id"] for r in nearcopies.one_of_each(table).select("doc_id").collect()]
-    expected = plain_survivors(rows)
-    assert sorted(map(str, kept)) == expected
-    assert len(simhash.one_of_each(table).collect()) > len(expected)  # three bits of three-word shingles are not enough
-
-
-def test_near_copies_of_a_table(docs):
-    kept = [r["doc_id"] for r in nearcopies.one_of_each(docs).select("doc_id").collect()]
-    assert sorted(map(str, kept)) == plain_survivors([(i, t) for i, t, _ in rows_of(docs)])
-
-
 # digest
 
 
@@ -377,7 +304,8 @@ def test_digest_tells_edits_from_others(docs):
 # suffix arrays
 
 
-def plain_removal(rows, length=50):
+def plain_masks(rows, length=50):
+    """Each row's id, bytes, and a mark for every byte that goes."""
     first = {}
     for i, t, _ in rows:
         raw = (t or "").encode()
@@ -392,6 +320,13 @@ def plain_removal(rows, length=50):
         for p in range(len(raw) - length + 1):
             if first[raw[p : p + length]] < (np.inf if i is None else i):
                 mask[p : p + length] = b"\1" * length
+        out.append((i, raw, mask))
+    return out
+
+
+def plain_removal(rows, length=50):
+    out = []
+    for i, raw, mask in plain_masks(rows, length):
         spans = sum(1 for k in range(len(mask)) if mask[k] and not (k and mask[k - 1]))
         kept = bytes(b for b, m in zip(raw, mask) if not m)
         out.append((i, len(raw), sum(mask), spans, hashlib.sha256(kept).hexdigest()))

@@ -14,7 +14,6 @@ Decoding.  Ids become bytes; a state machine holds back the bytes of an unfinish
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import itertools
 import struct
@@ -25,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import get, utf8
+from tidewall.llm.common import get, kept, utf8
 
 STATES = 250_000
-MEMORY = 550_000
+#: Entries of each memory in bytes of their texts and ids; a Python object more has some 120 bytes beside them.
+MEMORY = 32_000_000
+OVERHEAD = 120
 SPACE = r"\t-\r \x85\xa0  -     　"
-_SHARED: dict[tuple[str, str], "Encoder"] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -226,11 +226,8 @@ class Encoder:
 
     @classmethod
     def shared(cls, path: str, pattern: str) -> "Encoder":
-        """One per process: states and memory outlive a task."""
-        if (path, pattern) not in _SHARED:
-            _SHARED[path, pattern] = cls(load_ranks(path), pattern)
-            gc.freeze()  # the tables stay; without this every collection walks over them
-        return _SHARED[path, pattern]
+        """One per process: states and memory outlive a task, until a task of another operator starts."""
+        return kept("bpe", ("bpe", path, pattern), lambda: cls(load_ranks(path), pattern))
 
     def _encode(self, stretch: str) -> bytes:
         return b"".join(map(self._pieces.get_or_make, self._find(stretch)))
@@ -259,20 +256,22 @@ class Encoder:
 
 
 class _Memory(dict):
-    """What a function made of its argument, in two generations of bounded size, so that frequent arguments stay."""
+    """What a function made of its argument, in two generations of bounded size in bytes, so that frequent arguments stay."""
 
     def __init__(self, make, bound: int):
         super().__init__()
-        self._make, self._bound, self._old = make, bound, {}
+        self._make, self._bound, self._old, self._size = make, bound, {}, 0
         self.get_or_make = self.__getitem__
 
     def __missing__(self, key: str) -> bytes:
         value = self._old.get(key)
         if value is None:
             value = self._make(key)
-        if len(self) >= self._bound:
+        if self._size >= self._bound:
             self._old = dict(self)
             self.clear()
+            self._size = 0
+        self._size += len(key) + len(value) + OVERHEAD
         self[key] = value
         return value
 

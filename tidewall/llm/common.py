@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +19,33 @@ from tidewall.functions.shared import shared_folder
 
 BATCH_ROWS = 1000
 _SHIPPED: set[str] = set()
+#: What an operator's tasks keep in a Python worker, and whose it is.
+_KEPT: dict = {}
+_OWNER: list[str] = [""]
+
+
+def kept(owner: str, key: tuple, make):
+    """`make()`, kept in this worker for the next tasks of `owner`, until a task of another operator starts."""
+    enter(owner)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+        gc.freeze()  # tables stay; without this every collection walks over them
+    return _KEPT[key]
+
+
+def enter(owner: str) -> None:
+    """A task's first step: what other operators' tasks have left in this Python worker goes back to the system."""
+    if _OWNER[0] == owner:
+        return
+    _OWNER[0] = owner
+    _KEPT.clear()
+    gc.unfreeze()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def ship(spark: SparkSession) -> None:

@@ -126,13 +126,18 @@ def mixture(
     max_epochs: float = 3.0,
     seed: int = 42,
 ) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`."""
+    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`, whatever their names."""
     _, bounds = plan(docs, id, text, source, weights, share, max_epochs, seed)
     bounds = bounds.select("_source", "_whole", "_cut")
-    joined = docs.join(bounds, F.col(source).eqNullSafe(F.col("_source")))
-    times = joined.withColumn("_times", _repeats(_hash(id, source, seed))).where("_times > 0")
-    repeated = times.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    # The caller's columns travel as one, so their names meet none of these.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source).alias("source"),
+        _hash(id, source, seed).alias("_hash"),
+    )
+    joined = rows.join(bounds, F.col("source").eqNullSafe(F.col("_source")))
+    times = joined.select("row", _repeats(F.col("_hash")).alias("times")).where("times > 0")
+    repeated = times.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return repeated.select("row.*")
 
 
 def _position(hashed: Column) -> Column:

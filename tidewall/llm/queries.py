@@ -105,8 +105,8 @@ def toxicity_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs.select("doc_id", "text"))
     return scored.select(
-        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 

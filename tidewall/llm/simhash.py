@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import stored, utf8
+from tidewall.llm.common import enter, stored, utf8
 from tidewall.llm.components import components
 
 SHINGLE = 3
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
 def _marker():
     @F.arrow_udf("bigint")
     def run(column: pa.Array) -> pa.Array:
+        enter("simhash")
         values = np.fromiter((fingerprint(raw) for raw in utf8(column)), np.uint64, len(column))
         return pa.array(values.view(np.int64))
 
@@ -183,23 +184,28 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     )
 
 
-def _hex(fp: str) -> Column:
+def _hex(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows of `docs` that stay if of each group only the document with the smallest id does (one of repeated rows).
 
-    A document without an id stays only where no document of its group has one, and then one of them.
+    A document without an id stays only where no document of its group has one, and then one of them.  Of rows with one
+    id (or without one) the text of the least hash stays.  The columns of `docs` may have any names.
     """
     groups = stored(near_duplicates(docs, id=id, text=text, distance=distance), "simhash-groups")
-    first = Window.partitionBy(id).orderBy(F.lit(0))
-    smallest = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id)).distinct()
-    with_id = docs.where(F.col(id).isNotNull()).join(smallest, id, "left_semi")
-    with_id = with_id.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
-    nameless = docs.where(F.col(id).isNull())
-    marked = nameless.withColumn("_fp", _marker()(F.col(text).cast("string")))
-    alone = groups.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_hex"), "group").distinct()
-    marked = marked.join(alone, _hex("_fp") == F.col("_hex"))
-    marked = marked.withColumn("_row", F.row_number().over(Window.partitionBy("group").orderBy(F.lit(0)))).where("_row = 1")
-    return with_id.unionByName(marked.select(*docs.columns))
+    # The caller's columns travel as one, so their names meet none of these.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id).cast("long").alias("doc_id"),
+        F.col(text).cast("string").alias("text"),
+    ).withColumn("order", F.xxhash64("text"))
+    smallest = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = rows.where(F.col("doc_id").isNotNull()).join(smallest, "doc_id", "left_semi").select("row", "doc_id", "order")
+    first = Window.partitionBy("doc_id").orderBy("order")
+    named = named.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    nameless = rows.where(F.col("doc_id").isNull()).select("row", "order", _hex(_marker()("text")).alias("fingerprint"))
+    alone = groups.where(F.col("component_id").isNull()).select("fingerprint", "group").distinct()
+    first = Window.partitionBy("group").orderBy("order")
+    nameless = nameless.join(alone, "fingerprint").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return named.select("row.*").union(nameless.select("row.*"))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import get, put, remove, shared_folder, stored, utf8
+from tidewall.llm.common import enter, get, put, remove, shared_folder, stored, utf8
 
 LENGTH = 50
 GRAM = 16
@@ -230,6 +230,7 @@ class SuffixIndex:
         folder, shards, length, chunk_bytes = f"{self._folder}/texts", self._shards, self._length, self._chunk_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter("suffix")
             task = TaskContext.get()
             part, number = task.partitionId(), 0
             ids, texts, beside, size = [], [], [], 0
@@ -652,7 +653,7 @@ def clean(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options)
     null = "_null"
     while null in {c.lower() for c in others}:
         null = f"_{null}"
-    beside = F.struct(F.col(text).isNull().alias(null), *others)
+    beside = F.struct(F.col(text).isNull().alias(null), *(F.col(f"`{c}`") for c in others))
     kept = remove_repeats(docs, id=id, text=text, carry=F.to_json(beside, _FORMATS), **options)
 
     @F.arrow_udf("string")

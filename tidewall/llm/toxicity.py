@@ -29,7 +29,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import stored, utf8
+from tidewall.llm.common import enter, stored, utf8
 
 #: Most labelled rows that learning looks at.
 SAMPLE = 24_000
@@ -142,6 +142,7 @@ def with_features(docs: DataFrame, text: str, lexicon: dict[str, float]) -> Data
 
     @F.arrow_udf("array<double>")
     def run(column: pa.Array) -> pa.Array:
+        enter("toxicity")
         rows = [features(raw.decode(), lexicon, strong) for raw in utf8(column)]
         return pa.array(rows, pa.list_(pa.float64()))
 
@@ -149,18 +150,20 @@ def with_features(docs: DataFrame, text: str, lexicon: dict[str, float]) -> Data
 
 
 class Model:
-    """Learned lexicon, trees and calibration; `score` adds `_score` to any table with texts."""
+    """Learned lexicon, trees and calibration; `score` reads any table with texts."""
 
     def __init__(self, lexicon: dict[str, float], trees, calibration, constant: float | None = None):
         self._lexicon, self._trees, self._calibration, self._constant = lexicon, trees, calibration, constant
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """Rows (`row`, `score`): each row of `docs` as one struct, so that its columns may have any names."""
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).cast("string").alias("text"))
         if self._constant is not None:
-            return docs.withColumn("_score", F.lit(self._constant))
-        raw = _raw(with_features(docs, text, self._lexicon), self._trees)
-        return self._calibration.transform(raw).withColumn(
-            "_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_calibrated")))
-        ).drop("_features", "_raw", "_calibrated")
+            return rows.select("row", F.lit(self._constant).alias("score"))
+        raw = _raw(with_features(rows, "text", self._lexicon).drop("text"), self._trees)
+        return self._calibration.transform(raw).select(
+            "row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_calibrated"))).alias("score")
+        )
 
 
 def _vectors(df: DataFrame) -> DataFrame:

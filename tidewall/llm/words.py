@@ -16,12 +16,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from tidewall.llm.common import utf8
+from tidewall.llm.common import kept, utf8
 
 #: Fixed: the pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+"
 MEMORY = 400_000
-_SHARED: dict[str, "WordPieces"] = {}
 
 
 class WordPieces:
@@ -42,10 +41,8 @@ class WordPieces:
 
     @classmethod
     def shared(cls, vocabulary: str) -> "WordPieces":
-        """One per process: the memory outlives a task."""
-        if vocabulary not in _SHARED:
-            _SHARED[vocabulary] = cls(vocabulary)
-        return _SHARED[vocabulary]
+        """One per process: the memory outlives a task, until a task of another operator starts."""
+        return kept("tokenfile", ("words", vocabulary), lambda: cls(vocabulary))
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
