@@ -6,25 +6,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import bpe, mixing, nearcopies, suffix, toxicity
+from tidewall.llm import bpe, mixing, simhash, suffix, toxicity
 from tidewall.llm.common import ship, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a calibrated toxicity score below one half; the labels of `sf_dir` teach the score."""
+    """Documents with a calibrated toxicity score below one half; the labels of `sf_dir` teach the score.
+
+    Null and empty texts get the score of a text without words; repeated rows go or stay together.
+    """
     ship(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs).where(F.col("_score") < 0.5).select(*docs.columns)
+    return model.score(docs).where(F.col("score") < 0.5).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 and more) the document with the smallest id."""
+    """Of each group of near copies (fingerprints of three-word shingles, linked at 3 or fewer differing bits) the document
+    with the smallest id; texts without words are one group; of documents without ids one stays where no other does."""
     ship(spark)
-    return nearcopies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes and more that a document with a smaller id has are cut out; `n_chars` follows the text."""
+    """Passages of 50 bytes and more that a document with a smaller id has are cut out; `n_chars` follows the text.
+
+    No row goes: a text that is all repeats is left empty, a null one stays null, ids without a value come last.
+    """
     ship(spark)
     cleaned = suffix.clean(docs)
     if "n_chars" in cleaned.columns:
@@ -33,13 +40,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: a row for every time."""
+    """Each document as often as the mix takes it: a row for every time, up to three; a null source is a source of its own."""
     ship(spark)
     return mixing.mixture(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (`doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256`, `ids`)."""
+    """Rows (`doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256`, `ids`), one per row; null and empty texts have no ids."""
     import public_tokenizers
 
     ship(spark)
