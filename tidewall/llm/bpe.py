@@ -24,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import get, kept, utf8
+from tidewall.llm.common import get, kept, task, utf8
 
-STATES = 250_000
-#: Entries of each memory in bytes of their texts and ids; a Python object more has some 120 bytes beside them.
-MEMORY = 32_000_000
-OVERHEAD = 120
+#: Bytes that an encoder may keep in a worker, about: states and seams of the transducer, and texts seen before.
+MEMORY = 256 << 20
+#: What a state, with its transitions and seams, and what an entry of a memory takes beside its text and ids.
+PER_STATE = 1024
+PER_ENTRY = 120
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -42,11 +43,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Merges:
     """For each token the two tokens that its last merge joins, and whether two tokens can stand side by side."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], seams: int):
         self.ranks = ranks
+        self._limit = seams
         self.bytes = {rank: token for token, rank in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._seams: dict[tuple[int, int], bool] = {}
+        self._seams: dict[int, bool] = {}
 
     def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
         """Plain merging by rank, leftmost first, down to `until` parts."""
@@ -80,10 +82,11 @@ class Merges:
         Goes back in time: undoes the later of the two last merges and asks whether the parts that met at the seam then
         would have merged before it.  Of equal ranks the left one comes first.
         """
-        known = self._seams.get((left, right))
+        seam = left << 32 | right
+        known = self._seams.get(seam)
         if known is not None:
             return known
-        if len(self._seams) > 2 * STATES:
+        if len(self._seams) > self._limit:
             self._seams.clear()
         names, ranks, a, b, limit = self.bytes, self.ranks, left, right, None
         while True:
@@ -99,7 +102,7 @@ class Merges:
                 limit, a = a, of_a[1]  # a merge left of the seam comes before an equal one at it
             else:
                 limit, b = b + 1, of_b[0]
-        self._seams[left, right] = answer
+        self._seams[seam] = answer
         return answer
 
 
@@ -110,8 +113,8 @@ class Transducer:
     still reach over the end).  Transitions go from state and byte to state; those that emit are listed beside them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
-        self._merges = Merges(ranks)
+    def __init__(self, ranks: dict[bytes, int], states: int = MEMORY // PER_STATE):
+        self._merges = Merges(ranks, 2 * states)
         self._limit = states
         # For all bytes that begin a token: the token that they are, or -1; and whether a longer one begins so.
         longer = {t[:n] for t in ranks for n in range(1, len(t))}
@@ -213,21 +216,21 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = MEMORY):
         self._ranks = ranks
-        self._transducer = Transducer(ranks)
+        self._transducer = Transducer(ranks, memory // PER_STATE)
         # White space as Unicode defines it; the library of the pattern would count four control characters more.
         spaced = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self._find = regex.compile(spaced).findall
         self._odd = regex.compile(f"[{SPACE}] | [{SPACE}]").search
-        self._stretches = _Memory(lambda stretch: self._encode(" " + stretch), memory)
-        self._pieces = _Memory(self._piece, memory)
+        self._stretches = _Memory(lambda stretch: self._encode(" " + stretch), memory // 8)
+        self._pieces = _Memory(self._piece, memory // 8)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
     @classmethod
-    def shared(cls, path: str, pattern: str) -> "Encoder":
+    def shared(cls, path: str, pattern: str, memory: int = MEMORY) -> "Encoder":
         """One per process: states and memory outlive a task, until a task of another operator starts."""
-        return kept("bpe", ("bpe", path, pattern), lambda: cls(load_ranks(path), pattern))
+        return kept("bpe", ("bpe", path, pattern, memory), lambda: cls(load_ranks(path), pattern, memory))
 
     def _encode(self, stretch: str) -> bytes:
         return b"".join(map(self._pieces.get_or_make, self._find(stretch)))
@@ -271,7 +274,7 @@ class _Memory(dict):
             self._old = dict(self)
             self.clear()
             self._size = 0
-        self._size += len(key) + len(value) + OVERHEAD
+        self._size += len(key) + len(value) + PER_ENTRY
         self[key] = value
         return value
 
@@ -330,6 +333,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", tex
 
     Defined results: a null or empty text has no ids; ids may be null or repeated, each row is encoded by itself.
     """
+    @task("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(ranks, pattern)
         for batch in batches:
@@ -343,16 +347,19 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", tex
 
 
 def round_trip(
-    docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", text: str = "text", keep_ids: bool = False
+    docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", text: str = "text", keep_ids: bool = False,
+    memory: int = MEMORY,
 ) -> DataFrame:
     """Rows (`doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256`): encodes and decodes each whole text in one pass.
 
-    With `keep_ids` also `ids`, little-endian unsigned 32-bit integers.
+    With `keep_ids` also `ids`, little-endian unsigned 32-bit integers.  `memory` bounds the bytes that a worker keeps of
+    texts and states; less of it costs time only.
     """
     more = ", ids binary" if keep_ids else ""
 
+    @task("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(ranks, pattern)
+        encoder = Encoder.shared(ranks, pattern, memory)
         for batch in batches:
             counts, of_ids, of_text, kept = [], [], [], []
             for raw in utf8(batch.column(1)):

@@ -34,12 +34,33 @@ def kept(owner: str, key: tuple, make):
 
 
 def enter(owner: str) -> None:
-    """A task's first step: what other operators' tasks have left in this Python worker goes back to the system."""
+    """A task's first step: what other operators' tasks have kept in this Python worker goes."""
     if _OWNER[0] == owner:
         return
     _OWNER[0] = owner
     _KEPT.clear()
     gc.unfreeze()
+    give_back()
+
+
+def task(owner: str):
+    """For functions of `mapInArrow`: a worker that waits for its next task holds no more than what is `kept`."""
+
+    def wrap(run):
+        def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter(owner)
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return all_batches
+
+    return wrap
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; Python, Arrow and the C library hold on to it for later use."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

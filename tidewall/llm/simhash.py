@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import enter, stored, utf8
+from tidewall.llm.common import enter, stored, task, utf8
 from tidewall.llm.components import components
 
 SHINGLE = 3
@@ -121,6 +121,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     balls = blocks.select("k", "held", F.explode(F.transform(bits, lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1), i)))).alias("v"))
     near = balls.join(blocks.select("k", "v", F.col("held").alias("held2")), ["k", "v"]).select("held", "held2")
 
+    @task("simhash")
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []

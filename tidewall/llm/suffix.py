@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import enter, get, put, remove, shared_folder, stored, utf8
+from tidewall.llm.common import get, put, remove, shared_folder, stored, task, utf8
 
 LENGTH = 50
 GRAM = 16
@@ -229,15 +229,15 @@ class SuffixIndex:
     def _sampler(self, batch: int):
         folder, shards, length, chunk_bytes = f"{self._folder}/texts", self._shards, self._length, self._chunk_bytes
 
+        @task("suffix")
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            enter("suffix")
-            task = TaskContext.get()
-            part, number = task.partitionId(), 0
+            context = TaskContext.get()
+            part, number = context.partitionId(), 0
             ids, texts, beside, size = [], [], [], 0
 
             def flush():
                 chunk = batch << 48 | part << 20 | number
-                path = f"{folder}/{batch:04d}-{part:06d}-{task.taskAttemptId()}-{number:05d}.chunk"
+                path = f"{folder}/{batch:04d}-{part:06d}-{context.taskAttemptId()}-{number:05d}.chunk"
                 ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
                 buffer = b"".join(texts)
                 Chunk.write(path, ids, beside, ends, buffer)
@@ -286,6 +286,7 @@ class SuffixIndex:
     def _scanner(self, level: str):
         older, length, crowded = [folder for _, folder in self._levels], self._length, CROWDED
 
+        @task("suffix")
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, held = None, []
             for batch in batches:
@@ -341,6 +342,7 @@ class SuffixIndex:
             (size, a), (_, b) = self._levels[-2:]
             target = f"{self._folder}/merged-{self._batches:06d}-{2 * size}"
 
+            @task("suffix")
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for shard in batch.column(0).to_pylist():
@@ -373,13 +375,14 @@ class SuffixIndex:
         windows = asked.mapInArrow(_fetch(self._shards, self._length), "shard int, kind int, data binary")
         return windows.repartition(self._shards, "shard").sortWithinPartitions("shard")
 
-    def removed(self) -> DataFrame:
+    def removed(self, whole_characters: bool = False) -> DataFrame:
         """Rows (`doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept`, `spans`, `carry`) for every document of all batches.
 
-        `kept` are the bytes that stay; `spans` the removed stretches as from and to, in order.
+        `kept` are the bytes that stay, with `whole_characters` without the rests of characters that are cut in two;
+        `spans` the removed stretches as from and to, in order.
         """
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<from:bigint,to:bigint>>, carry string"
-        return self.spans().repartition("chunk").sortWithinPartitions("chunk", F.desc("kind")).mapInArrow(_apply, schema)
+        return self.spans().repartition("chunk").sortWithinPartitions("chunk", F.desc("kind")).mapInArrow(_apply(whole_characters), schema)
 
 
 def _level_file(folder: str, shard: int) -> str:
@@ -429,6 +432,7 @@ def _by_chunk(kind: int, chunk: np.ndarray, a: np.ndarray, b: np.ndarray, key: n
 def _fetch(shards: int, length: int):
     """Per chunk: the bytes of the runs asked for, dealt by anchor; of crowded anchors the windows, dealt by their hashes."""
 
+    @task("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, texts, parts = None, None, []
         for batch in batches:
@@ -505,6 +509,7 @@ def _fetch(shards: int, length: int):
 def _compare(length: int):
     """Per shard: windows of runs with one anchor; those of a larger document than the smallest that has them go."""
 
+    @task("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, {_RUNS: [], _HASHES: []}
         for batch in batches:
@@ -575,21 +580,25 @@ def _compare(length: int):
     return run
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    path, cuts, open_ = None, [], None
-    for batch in batches:
-        for kind, number, data, name in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if kind == _CHUNK:
-                if path is not None:
-                    yield from _kept(path, cuts)
-                path, cuts, open_ = name, [], number
-            elif number == open_:
-                cuts.append(_unpack(data, "<u4", "<u4"))
-    if path is not None:
-        yield from _kept(path, cuts)
+def _apply(whole_characters: bool):
+    @task("suffix")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, cuts, open_ = None, [], None
+        for batch in batches:
+            for kind, number, data, name in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if kind == _CHUNK:
+                    if path is not None:
+                        yield from _kept(path, cuts, whole_characters)
+                    path, cuts, open_ = name, [], number
+                elif number == open_:
+                    cuts.append(_unpack(data, "<u4", "<u4"))
+        if path is not None:
+            yield from _kept(path, cuts, whole_characters)
+
+    return run
 
 
-def _kept(path: str, cuts: list) -> Iterator[pa.RecordBatch]:
+def _kept(path: str, cuts: list, whole_characters: bool) -> Iterator[pa.RecordBatch]:
     chunk = Chunk(path)
     lo, hi = (np.concatenate(c).astype(np.int64) for c in zip(*cuts)) if cuts else (np.zeros(0, np.int64),) * 2
     lo, hi = _merged(lo, hi)
@@ -607,8 +616,11 @@ def _kept(path: str, cuts: list) -> Iterator[pa.RecordBatch]:
             kept.append(chunk.buffer[at:a])
             at = b
         kept.append(chunk.buffer[at:end])
+        left = b"".join(kept)
+        if whole_characters and spans:
+            left = left.decode("utf-8", "ignore").encode()
         spans = [{"from": a - start, "to": b - start} for a, b in spans]
-        rows.append((doc_id, end - start, sum(s["to"] - s["from"] for s in spans), len(spans), b"".join(kept), spans, extra))
+        rows.append((doc_id, end - start, sum(s["to"] - s["from"] for s in spans), len(spans), left, spans, extra))
         size += end - start
         if size > 1 << 20:
             yield _result(rows)
@@ -626,7 +638,7 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
 
 def remove_repeats(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", carry: Column | None = None, length: int = LENGTH,
-    batches: int = BATCHES, shard_bytes: int = SHARD_BYTES,
+    batches: int = BATCHES, shard_bytes: int = SHARD_BYTES, whole_characters: bool = False,
 ) -> DataFrame:
     """`SuffixIndex.removed` of a whole table, fed in `batches` ranges of ascending ids."""
     fractions = [k / batches for k in range(1, batches)]
@@ -643,7 +655,7 @@ def remove_repeats(
         if high is not None:
             inside &= key <= high
         index.add(docs.where(inside), id, text, carry)
-    return index.removed()
+    return index.removed(whole_characters)
 
 
 def clean(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -654,14 +666,10 @@ def clean(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options)
     while null in {c.lower() for c in others}:
         null = f"_{null}"
     beside = F.struct(F.col(text).isNull().alias(null), *(F.col(f"`{c}`") for c in others))
-    kept = remove_repeats(docs, id=id, text=text, carry=F.to_json(beside, _FORMATS), **options)
-
-    @F.arrow_udf("string")
-    def decoded(column: pa.Array) -> pa.Array:
-        return pa.array([raw.decode("utf-8", "ignore") for raw in utf8(column)], pa.string())
+    kept = remove_repeats(docs, id=id, text=text, carry=F.to_json(beside, _FORMATS), whole_characters=True, **options)
 
     schema = docs.select(beside.alias("_")).schema["_"].dataType
-    rows = kept.select(F.col("doc_id"), decoded("kept").alias("_kept"), F.from_json("carry", schema, _FORMATS).alias("_beside"))
+    rows = kept.select(F.col("doc_id"), F.col("kept").cast("string").alias("_kept"), F.from_json("carry", schema, _FORMATS).alias("_beside"))
     back = {id: F.col("doc_id"), text: F.when(~F.col(f"_beside.{null}"), F.col("_kept"))} | {c: F.col(f"_beside.`{c}`") for c in others}
     return rows.select(*((back[c] if c in others else back[c].cast(docs.schema[c].dataType)).alias(c) for c in docs.columns))
 
