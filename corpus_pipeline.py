@@ -50,9 +50,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.round_trip(docs, ranks, pattern, keep_ids=True, memory=ENCODER_BYTES)
 
 
+#: The executors have run four stages when the encoder comes, and their heaps are large by then.
+ENCODER_BYTES = 48 << 20
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_copies),
