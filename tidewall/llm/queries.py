@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import ann, bpe, digest, mixing, simhash, suffix, tokencount, tokenfile, toxicity, warc
+from tidewall.llm import ann, bpe, conversations, digest, mixing, simhash, suffix, tokencount, tokenfile, toxicity, warc
 from tidewall.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,9 @@ def toxicity_scores(spark, sf_dir):
 @query("op10_suffix_dedup")
 def suffix_dedup(spark, sf_dir):
     return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op12_repair_conversations")
+def repair_conversations(spark, sf_dir):
+    damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.digests(conversations.repair(damaged))
