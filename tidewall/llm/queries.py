@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import ann, bpe, conversations, digest, mixing, simhash, suffix, tokencount, tokenfile, toxicity, warc
+from tidewall.llm import ann, bpe, collocations, conversations, digest, mixing, simhash, suffix, tokencount, tokenfile, toxicity, warc
 from tidewall.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,48 @@ def suffix_dedup(spark, sf_dir):
 def repair_conversations(spark, sf_dir):
     damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.digests(conversations.repair(damaged))
+
+
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    "op13_collocations",
+    f"""WITH numbered AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+           regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[.,;:!?\\x0A-\\x0D]') AS parts
+    FROM documents),
+pieces AS (SELECT d, lang, unnest(parts) AS piece, generate_subscripts(parts, 1) AS p FROM numbered),
+worded AS (SELECT d, lang, p, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+each_word AS (SELECT d, lang, p, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM worded),
+threes AS (
+    SELECT lang, x, lead(x, 1) OVER at_place AS y, lead(x, 2) OVER at_place AS z FROM each_word
+    WINDOW at_place AS (PARTITION BY d, p ORDER BY i)),
+f1 AS (SELECT lang, x, CAST(count(*) AS HUGEINT) AS f FROM threes GROUP BY ALL),
+f2 AS (SELECT lang, x, y, CAST(count(*) AS HUGEINT) AS f FROM threes WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, x, y, z, CAST(count(*) AS HUGEINT) AS f FROM threes WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+inside AS (
+    SELECT lang, x, y, max(f) AS longer
+    FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY lang, x, y),
+of_two AS (
+    SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, u.f AS l, v.f AS r, (1000000 * c.f * c.f) // (u.f * v.f) AS score
+    FROM f2 c JOIN f1 u ON u.lang = c.lang AND u.x = c.x JOIN f1 v ON v.lang = c.lang AND v.x = c.y
+    LEFT JOIN inside i ON i.lang = c.lang AND i.x = c.x AND i.y = c.y
+    WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.f),
+cuts AS (
+    SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z AS phrase, c.f AS a, u.f AS l1, t.f AS r1, h.f AS l2, v.f AS r2,
+           (1000000 * c.f * c.f) // (u.f * t.f) AS s1, (1000000 * c.f * c.f) // (h.f * v.f) AS s2
+    FROM f3 c JOIN f1 u ON u.lang = c.lang AND u.x = c.x JOIN f1 v ON v.lang = c.lang AND v.x = c.z
+    JOIN f2 h ON h.lang = c.lang AND h.x = c.x AND h.y = c.y JOIN f2 t ON t.lang = c.lang AND t.x = c.y AND t.y = c.z),
+kept AS (
+    SELECT * FROM of_two UNION ALL
+    SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+)
+def phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
