@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import ann, bpe, collocations, conversations, digest, mixing, simhash, suffix, tokencount, tokenfile, toxicity, warc
+from tidewall.llm import ann, bpe, collocations, conversations, digest, mixing, quality, simhash, suffix, tokencount, tokenfile, toxicity, warc
 from tidewall.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,16 @@ def suffix_dedup(spark, sf_dir):
     return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+@query("op11_quality")
+def quality_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.fit(docs, table(spark, sf_dir, "labels")).score(docs.select("doc_id", "text", "n_chars"))
+    return scored.select(
+        "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query("op12_repair_conversations")
 def repair_conversations(spark, sf_dir):
     damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
