@@ -46,6 +46,8 @@ BLOCK_WORDS = 1 << 20
 HELD = 300_000
 _BREAK = -1
 _IDS = 20  # bits of a number within its dictionary file
+_DIGIT = 10  # bits of a digit in a trie
+_SPAN = 1 << _DIGIT
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b",;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
 
@@ -189,73 +191,84 @@ def _look_up(words: list[tuple[str, bytes]], folder: str, files: int, there: fro
 def double_array(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """`phrases` [n, depth], distinct and sorted: symbols (sorted numbers of words), base, check and accept of their trie.
 
-    State 0 is the root, states are slots, and `accept` holds a phrase's row at the slot where it ends (else -1).  Slots of a
-    state's children are base + symbol; states with many children are placed first, those with one fill the holes.
+    A word is two digits of its place among the symbols, so no state has children further apart than `_SPAN` and rows of
+    children pack well.  State 0 is the root, states are slots, and `accept` holds a phrase's row at the slot where it ends
+    (else -1).  Slots of a state's children are base + digit; states with many children come first, those with one fill holes.
     """
     symbols = np.unique(phrases)
+    if len(symbols) > _SPAN * _SPAN:
+        raise ValueError("more words than two digits can tell apart")
     code = np.searchsorted(symbols, phrases)
-    size = 1 + len(symbols)
-    base, check, accept = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-    firsts = np.unique(code[:, 0])
+    digits = np.stack([code >> _DIGIT, code & (_SPAN - 1)], axis=2).reshape(len(phrases), -1)
+    size = 1 + _SPAN
+    base, check, accept = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+    firsts = np.unique(digits[:, 0])
     base[0] = 1
     check[1 + firsts] = 0
     used = check >= 0
     used[0] = True
-    state = 1 + code[:, 0]  # of each phrase's beginning
+    state = 1 + digits[:, 0]  # of each phrase's beginning
+
+    end = size  # behind the last slot in use
 
     def grow(upto: int):
-        nonlocal base, check, accept, used
+        nonlocal base, check, accept, used, end
+        end = max(end, upto)
         if upto > len(base):
             more = max(upto, len(base) * 5 // 4) - len(base)
-            base, check, accept = (np.append(x, np.full(more, fill, np.int64)) for x, fill in ((base, 0), (check, -1), (accept, -1)))
+            base, check, accept = (np.append(x, np.full(more, fill, np.int32)) for x, fill in ((base, 0), (check, -1), (accept, -1)))
             used = np.append(used, np.zeros(more, bool))
 
-    for level in range(1, phrases.shape[1]):
-        starts = np.flatnonzero(np.append(True, (state[1:] != state[:-1]) | (code[1:, level] != code[:-1, level])))
-        parents, children = state[starts], code[starts, level]
+    for level in range(1, digits.shape[1]):
+        starts = np.flatnonzero(np.append(True, (state[1:] != state[:-1]) | (digits[1:, level] != digits[:-1, level])))
+        parents, children = state[starts], digits[starts, level]
         heads = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
         counts = np.diff(np.append(heads, len(parents)))
         slot = np.empty(len(parents), np.int64)
-        low = 0
+        low, kind = 0, None
         for h in np.argsort(-counts, kind="stable").tolist():
             n = int(counts[h])
             if n == 1:
                 break
+            if n.bit_length() != kind:
+                low, kind = 0, n.bit_length()  # smaller rows fit where larger ones did not
             kids = children[heads[h] : heads[h] + n]
-            place, low = _room(used, kids - kids[0], low)
-            grow(int(place + kids[-1] - kids[0]) + 1)
-            slot[heads[h] : heads[h] + n] = place + kids - kids[0]
-            used[slot[heads[h] : heads[h] + n]] = True
+            place, low = _room(used[:end], kids - kids[0], low)
+            grow(place + int(kids[-1] - kids[0]) + 1)
+            mine = place + kids - kids[0]
+            slot[heads[h] : heads[h] + n] = mine
+            used[mine] = True
         single = heads[counts == 1]
-        free = np.flatnonzero(~used)[: len(single)]
+        free = np.flatnonzero(~used[:end])[: len(single)]
         if len(free) < len(single):
-            end = len(used)
-            grow(end + len(single) - len(free))
-            free = np.append(free, np.arange(end, end + len(single) - len(free)))
+            more = np.arange(end, end + len(single) - len(free))
+            free = np.append(free, more)
+            grow(end + len(more))
         slot[single] = free
         used[free] = True
         base[parents[heads]] = slot[heads] - children[heads]
         check[slot] = parents
         state = np.repeat(slot, np.diff(np.append(starts, len(state))))
     accept[state] = np.arange(len(phrases))
-    return symbols, base, check, accept
+    return symbols, base[:end], check[:end], accept[:end]
 
 
 def _room(used: np.ndarray, offsets: np.ndarray, low: int) -> tuple[int, int]:
-    """The first free slot from which all offsets are free too, and where to look for the next state."""
-    if len(offsets) > 256:
-        return len(used), low  # a new stretch: there are at most candidates / 256 of these
-    at = low
-    while at < len(used):
-        free = at + np.flatnonzero(~used[at : at + 512])
+    """A free slot from which all offsets are free too, and where to look for the next row of such a size.
+
+    Looks at a few stretches from `low` on; rows that find no room there go to the end.
+    """
+    for _ in range(8):
+        if low >= len(used):
+            break
+        free = low + np.flatnonzero(~used[low : low + _SPAN])[: max(8, 32_768 // len(offsets))]
         if len(free):
             slots = free[:, None] + offsets[None, :]
             taken = used[np.minimum(slots, len(used) - 1)] & (slots < len(used))
             fits = np.flatnonzero(~taken.any(axis=1))
             if len(fits):
-                # Nearly full stretches are not looked at again.
-                return int(free[fits[0]]), (at if len(free) > 64 else at + 512)
-        at += 512
+                return int(free[fits[0]]), low
+        low += _SPAN
     return len(used), low
 
 
@@ -324,12 +337,12 @@ class Tries:
             symbol = np.where(symbols[place] == distinct, place, -1)
             state = np.zeros(len(at), np.int64)
             for level in range(self.depth):  # all positions at once, those without a transition drop out
-                step = symbol[local[at + level]]
-                slot = base[state] + step
-                inside = (step >= 0) & (slot >= 0) & (slot < len(check))
-                inside &= check[np.where(inside, slot, 0)] == state
-                inside &= slot != 0
-                at, state = at[inside], slot[inside]
+                word = symbol[local[at + level]]
+                for shift in (_DIGIT, 0):
+                    slot = base[state] + (word >> shift & (_SPAN - 1))
+                    inside = (word >= 0) & (slot > 0) & (slot < len(check))
+                    inside &= check[np.where(inside, slot, 0)] == state
+                    at, state, word = at[inside], slot[inside].astype(np.int64), word[inside]
             found = accept[state]
             yield trie["phrases"], np.bincount(found, minlength=len(trie["phrases"])), at
 
