@@ -1,15 +1,15 @@
 """Sources, sinks, files, similarity, key figures, streams."""
 
 import base64
-
 import datetime
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidewall import fixed
 from tidewall.functions.crypto import FAILED, decrypt_col, encrypt_col
-from tidewall.operators.audit import sync_verdict
+from tidewall.operators.audit import rejected_decisions, sync_verdict
 from tidewall.operators.files import file_ext, malware_labels, sandbox_labels, sandbox_text
 from tidewall.operators.guard import guard, server_tools
 from tidewall.operators.kpi import kpi_trend, kth_smallest
@@ -19,6 +19,7 @@ from tidewall.sources.audit_store import read_audit, write_audit
 from tidewall.sources.policy import load_policy
 from tidewall.sources.prompts import load_attachments, load_prompts
 from tidewall.sources.signatures import append_signatures
+from tidewall.streaming.review import current_logs, outcomes, start_review
 from tidewall.streaming.screening import DECIDED_SCHEMA, audit_sink, decisions_sink
 
 SF = "/root/testdata/sf0.001"
@@ -221,3 +222,86 @@ def test_latest_decided_ticket_gives_the_verdict(spark):
         "approval_id long, log_id long, status string, reviewed_at timestamp",
     )
     assert sorted(map(tuple, sync_verdict(logs, tickets).collect())) == [(1, "ALLOW"), (2, "HUMAN_REVIEW")]
+
+
+def test_guard_parses_arguments_once_and_takes_long_domain_lists(spark):
+    policy = load_policy(spark, text=inputs.POLICY_JSON)
+    calls = spark.createDataFrame(
+        [(k, "x", '{"u": "http://%s/a", "n": 1}' % h) for k, h in enumerate(["d99999.test", "a.b.d5.test", "xd5.test", "d5.test.", "d5", "EVIL.test", ".d7.test"])],
+        "k int, tool string, args_json string",
+    )
+    plan = guard(calls, policy)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    many = policy._replace(domains=tuple(f"d{k}.test" for k in range(100_000)))
+    started = time.monotonic()
+    got = [r["is_allowed"] for r in guard(calls, many).orderBy("k").collect()]
+    assert got == [True, True, False, False, False, False, True]
+    assert time.monotonic() - started < 30
+
+
+def test_batch_without_a_commit_is_not_read(spark, tmp_path):
+    prompts, store = inputs.prompts(spark, SF), tmp_path / "store"
+    write_audit(prompts, str(store), "a", 0)
+    whole = [t.count() for t in read_audit(spark, str(store))]
+    write_audit(prompts, str(store), "b", 0)
+    assert [t.count() for t in read_audit(spark, str(store))] == [2 * n for n in whole]
+    (store / "requests/run=b/batch=0/_SUCCESS").unlink()  # as a job leaves it that dies while files are moved
+    assert [t.count() for t in read_audit(spark, str(store))] == whole
+    write_audit(prompts, str(store), "b", 0)
+    assert [t.count() for t in read_audit(spark, str(store))] == [2 * n for n in whole]
+    logs, events, _ = read_audit(spark, str(store))
+    assert logs.join(events, "log_id", "left_anti").where("action <> 'ALLOW'").count() == 0
+
+
+DECISION = "approval_id long, decision_id long, status string, reviewer_id string, review_notes string, ts timestamp"
+
+
+def _tickets(spark):
+    rows = [(k, 100 + k, "REJECTED" if k == 9 else "PENDING", None, None, datetime.datetime(2024, 1, 1), None) for k in range(1, 10)]
+    return spark.createDataFrame(
+        rows, "approval_id long, log_id long, status string, reviewer_id string, review_notes string, created_at timestamp_ntz, reviewed_at timestamp_ntz"
+    )
+
+
+def test_review_over_batches_restarts_and_checkpoints(spark, tmp_path):
+    day = lambda n: datetime.datetime(2024, 2, n)
+    source, out, tickets = str(tmp_path / "in"), str(tmp_path / "out"), _tickets(spark)
+
+    def more(*rows):
+        spark.createDataFrame(rows, DECISION).coalesce(1).write.mode("append").parquet(source)
+
+    def run(state):
+        stream = spark.readStream.schema(DECISION).option("maxFilesPerTrigger", 1).parquet(source)
+        start_review(stream, tickets, out, str(tmp_path / state), partitions=3, availableNow=True).awaitTermination()
+        rows = outcomes(spark, tickets, out).select("approval_id", "decision_id", "status", "error").collect()
+        return sorted(map(tuple, rows), key=str)
+
+    said = "This ticket has already been processed with verdict: %s."
+    # One file a batch, whichever comes first: the second has nothing that the first would change.
+    more((1, 10, "Rejected", "r", None, day(3)), (1, 11, "approved", "r", "fine", day(2)), (2, 12, "later", "r", None, day(1)), (77, 13, "APPROVED", "r", None, day(1)))
+    more((2, 14, "APPROVED", "", None, day(1)), (9, 15, "APPROVED", "r", None, day(1)), (3, 17, "APPROVED", "r", None, day(1)))
+    first = run("s1")
+    assert first == sorted([
+        (1, 10, None, said % "APPROVED"), (1, 11, "APPROVED", None), (2, 12, None, "Status must be either APPROVED or REJECTED"),
+        (2, 14, None, "Status must be either APPROVED or REJECTED"), (3, 17, "APPROVED", None), (9, 15, None, said % "REJECTED"), (77, 13, None, "Human approval ticket not found."),
+    ], key=str)
+    more((3, 18, "REJECTED", "r", None, day(9)), (3, 17, "APPROVED", "r", None, day(1)), (4, 19, "REJECTED", "r", None, day(9)), (4, 19, "APPROVED", "r", None, day(9)))
+    second = run("s1")  # goes on from its state
+    new = sorted(set(second) - set(first), key=str)
+    assert new == sorted([(3, 18, None, said % "APPROVED"), (4, 19, "APPROVED", None), (4, 19, None, said % "APPROVED")], key=str)
+    assert len(second) == 10
+    logs = spark.createDataFrame([(100 + k, "HUMAN_REVIEW") for k in range(1, 10)], "log_id long, action string")
+    actions = {r["log_id"]: r["action"] for r in current_logs(logs, tickets, out).collect()}
+    assert actions == {101: "ALLOW", 103: "ALLOW", 104: "ALLOW", 109: "BLOCK"} | {100 + k: "HUMAN_REVIEW" for k in (2, 5, 6, 7, 8)}
+    # A new checkpoint sees the whole source again, but its state begins with what was decided.
+    third = run("s2")
+    assert [r for r in third if r[3] is None] == [r for r in second if r[3] is None]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_rejected_decision_with_the_id_of_the_winner(spark):
+    day = datetime.datetime(2024, 2, 1)
+    decisions = spark.createDataFrame([(1, 10, "APPROVED", "r", None, day), (1, 10, "REJECTED", "r", None, day), (1, 10, "APPROVED", "r", None, day)], DECISION)
+    decisions = decisions.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = rejected_decisions(_tickets(spark), decisions).collect()
+    assert [(r["decision_id"], r["error"]) for r in out] == [(10, "This ticket has already been processed with verdict: APPROVED.")]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewall import fixed
 from tidewall.functions.scoring import places
 from tidewall.functions.text import preview, short_hash
 
@@ -158,7 +159,10 @@ def apply_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def rejected_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions that change nothing, with the reason: bad input, unknown ticket, or ticket already decided."""
+    """Decisions that change nothing, with the reason: bad input, unknown ticket, or ticket already decided.
+
+    A decision that repeats the winner's time, id and status is the winner delivered again; one that only has its id is not.
+    """
     valid = F.coalesce(_valid(decisions), F.lit(False))
     first = decisions.groupBy("approval_id").agg(
         F.min(F.when(valid, F.struct("ts", "decision_id", F.upper("status").alias("status")))).alias("d"), F.count(F.lit(1)).alias("_n")
@@ -167,7 +171,7 @@ def rejected_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
     hot = F.coalesce(F.col("_n") > HOT_TICKET, F.lit(False))
     known = tickets.select("approval_id", "status").join(first, "approval_id").select(
         "approval_id",
-        F.when(pending, F.col("d.decision_id")).alias("_winner"),
+        F.when(pending, F.col("d")).alias("_winner"),
         F.when(pending, F.col("d.status")).otherwise(F.col("status")).alias("_verdict"),
         F.lit(True).alias("_known"),
         # a ticket with very many decisions stands under several salts, and its decisions are dealt out among them
@@ -175,13 +179,14 @@ def rejected_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
     )
     crowded = first.where(F.col("_n") > HOT_TICKET).select("approval_id", F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("decision_id"), F.lit(SALTS)).cast("int")).otherwise(0)
-    checked = decisions.withColumn("_valid", valid).select("decision_id", "approval_id", "_valid").join(crowded, "approval_id", "left")
+    mark = F.struct("ts", "decision_id", F.upper("status").alias("status"))
+    checked = decisions.select("decision_id", "approval_id", valid.alias("_valid"), mark.alias("_mark")).join(crowded, "approval_id", "left")
     checked = checked.withColumn("_salt", salt).join(known, ["approval_id", "_salt"], "left")
-    processed = F.concat(F.lit("This ticket has already been processed with verdict: "), F.col("_verdict"), F.lit("."))
+    processed = F.concat(F.lit(fixed.PROCESSED[0]), F.col("_verdict"), F.lit(fixed.PROCESSED[1]))
     error = (
-        F.when(~F.col("_valid"), F.lit("Status must be either APPROVED or REJECTED"))
-        .when(F.col("_known").isNull(), F.lit("Human approval ticket not found."))
-        .when(F.col("_winner").isNull() | (F.col("decision_id") != F.col("_winner")), processed)
+        F.when(~F.col("_valid"), F.lit(fixed.BAD_DECISION))
+        .when(F.col("_known").isNull(), F.lit(fixed.NO_TICKET))
+        .when(F.col("_winner").isNull() | ~F.col("_mark").eqNullSafe(F.col("_winner")), processed)
     )
     return checked.select("decision_id", "approval_id", error.alias("error")).filter(F.col("error").isNotNull())
 

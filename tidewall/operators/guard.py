@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewall.functions.plan import pinned
 from tidewall.sources.policy import Policy
 
 # Explanation texts
@@ -34,12 +36,18 @@ def tool_permission(calls: DataFrame, policy: Policy, tool: str = "tool") -> Dat
     return joined.withColumn("permission_reason", reason).drop("_tool", "_blocked_on", "_allowed")
 
 
-def destructive_keyword(args_json: Column, policy: Policy) -> Column:
-    """First listed keyword that occurs anywhere in the lower-cased arguments, as they read once escapes are decoded."""
+def decoded(calls: DataFrame, args_json: str = "args_json") -> DataFrame:
+    """Adds `_args` (the arguments as a variant, null if unreadable) and `_said` (their lower-cased text once escapes are
+    decoded), each computed once however many checks read them."""
+    out = calls.withColumn("_args", pinned(F.try_parse_json(F.col(args_json))))
+    return out.withColumn("_said", pinned(F.lower(F.coalesce(F.to_json("_args"), F.col(args_json)))))
+
+
+def destructive_keyword(policy: Policy) -> Column:
+    """First listed keyword that occurs anywhere in the decoded arguments (`_said`)."""
     if not policy.check_keywords or not policy.keywords:
         return F.lit(None).cast("string")
-    lowered = F.lower(F.coalesce(F.to_json(F.try_parse_json(args_json)), args_json))
-    return F.coalesce(*[F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in policy.keywords])
+    return F.coalesce(*[F.when(F.contains("_said", F.lit(k)), F.lit(k)) for k in policy.keywords])
 
 
 def host_of(value: Column) -> Column:
@@ -52,7 +60,7 @@ def host_of(value: Column) -> Column:
 
 
 def string_arguments(args_json: Column) -> Column:
-    """Top-level string values of a JSON object, in order."""
+    """Top-level string values of a JSON object, in order.  A variant sorts its keys, so the order is read off the text."""
     entries = F.map_entries(F.from_json(args_json, "map<string,variant>"))
     texts = F.filter(entries, lambda e: F.schema_of_variant(e["value"]) == "STRING")
     return F.transform(texts, lambda e: e["value"].cast("string"))
@@ -67,23 +75,35 @@ def foreign_domain(args_json: Column, policy: Policy) -> Column:
         lambda v: v.startswith("http://") | v.startswith("https://") | F.contains(v, F.lit(".")),
     )
 
+    longest = max(d.count(".") for d in policy.domains) + 1
+
     def listed(host: Column) -> Column:
-        tests = [(host == d) | F.endswith(host, F.lit("." + d)) for d in policy.domains]
-        return reduce(lambda a, b: a | b, tests)
+        # The host is a listed domain or lies below one if one of its ends, cut at dots, is in the list: a few lookups in
+        # a set, however long the list is.
+        ends = F.transform(F.sequence(F.lit(-1), F.lit(-longest), F.lit(-1)), lambda k: F.call_function("substring_index", host, F.lit("."), k))
+        return F.exists(ends, lambda end: among(end, policy.domains))
 
     hosts = F.transform(dotted, host_of)
     return F.try_element_at(F.filter(hosts, lambda h: (F.length(h) > 0) & ~listed(h)), F.lit(1))
 
 
+def among(value: Column, texts: Sequence[str]) -> Column:
+    """Whether the value is one of the texts: one set lookup.  A long list goes to the JVM in one call, not text by text."""
+    jvm = SparkContext._active_spark_context._jvm
+    listed = jvm.java.util.regex.Pattern.compile("\n").splitAsStream("\n".join(dict.fromkeys(texts))).toList()
+    return type(value)(value._jc.isInCollection(listed))
+
+
 def unreadable(args_json: Column) -> Column:
-    """Arguments that are there but do not parse: no check can look into them."""
-    return args_json.isNotNull() & F.try_parse_json(args_json).isNull()
+    """Arguments that are there but do not parse (`_args` is null): no check can look into them."""
+    return args_json.isNotNull() & F.col("_args").isNull()
 
 
 def guard(calls: DataFrame, policy: Policy, tool: str = "tool", args_json: str = "args_json") -> DataFrame:
     """Add `is_allowed` and `explanation`: the first failing check decides.  Arguments that do not parse are denied."""
     out = tool_permission(calls, policy, tool)
-    out = out.withColumn("_word", destructive_keyword(F.col(args_json), policy))
+    out = decoded(out, args_json)
+    out = out.withColumn("_word", destructive_keyword(policy))
     out = out.withColumn("_host", foreign_domain(F.col(args_json), policy))
     reason = F.coalesce(
         F.col("permission_reason"),

@@ -280,6 +280,11 @@ def all_events(screened: DataFrame, key: str, ts: str) -> DataFrame:
     The union of `security_events` and `policy_events` would screen every prompt twice; here the policy row is one
     more element of the array that is unrolled.
     """
+    return screened.select(F.col(key).alias("log_id"), F.col(ts).alias("ts"), F.inline(event_array()))
+
+
+def event_array() -> Column:
+    """The events of a screened row as an array of structs (`position`, `agent_source`, ..., `details`)."""
     source, kind = fixed.POLICY_EVENT
     none = F.lit(None).cast("decimal(5,4)")
     policy = F.when(
@@ -292,23 +297,20 @@ def all_events(screened: DataFrame, key: str, ts: str) -> DataFrame:
         ),
     ).otherwise(F.array().cast(f"array<{RESULT_TYPE}>"))
     raised = F.filter(F.col("results"), lambda r: r["score"] > F.lit(Decimal("0.10")))
-    row = screened.select(key, ts, "severity", F.inline(F.concat(raised, policy)))
-    is_policy = F.col("score").isNull()
-    return row.select(
-        F.col(key).alias("log_id"),
-        F.col(ts).alias("ts"),
-        F.when(is_policy, F.lit(len(fixed.EVENT_TYPES) + 1))
-        .otherwise(F.coalesce(_named(_EVENT_POSITION, F.col("detector")), F.lit(len(_EVENT_POSITION))))
-        .alias("position"),
-        F.when(is_policy, F.lit(source))
-        .otherwise(F.coalesce(_named(_EVENT_SOURCE, F.col("detector")), F.lit("INJECTION")))
-        .alias("agent_source"),
-        F.when(is_policy, F.lit(kind))
-        .otherwise(F.coalesce(_named(_EVENT_TYPE, F.col("detector")), F.col("detector")))
-        .alias("trigger_type"),
-        F.when(is_policy, F.col("severity")).otherwise(event_severity(F.col("score"))).alias("severity_level"),
-        F.struct("score", "confidence", "reason", "matched").alias("details"),
-    )
+
+    def event(r: Column) -> Column:
+        is_policy, detector = r["score"].isNull(), r["detector"]
+        return F.struct(
+            F.when(is_policy, F.lit(len(fixed.EVENT_TYPES) + 1))
+            .otherwise(F.coalesce(_named(_EVENT_POSITION, detector), F.lit(len(_EVENT_POSITION))))
+            .alias("position"),
+            F.when(is_policy, F.lit(source)).otherwise(F.coalesce(_named(_EVENT_SOURCE, detector), F.lit("INJECTION"))).alias("agent_source"),
+            F.when(is_policy, F.lit(kind)).otherwise(F.coalesce(_named(_EVENT_TYPE, detector), detector)).alias("trigger_type"),
+            F.when(is_policy, F.col("severity")).otherwise(event_severity(r["score"])).alias("severity_level"),
+            F.struct(*(r[c].alias(c) for c in ("score", "confidence", "reason", "matched"))).alias("details"),
+        )
+
+    return F.transform(F.concat(raised, policy), event)
 
 
 def review_tickets(screened: DataFrame, key: str, ts: str) -> DataFrame:

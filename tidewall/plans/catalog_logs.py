@@ -17,6 +17,7 @@ from tidewall.plans.catalog_screening import CLASSIFIER_SQL
 from tidewall.plans.oracle import q
 from tidewall.sources.policy import load_policy
 from tidewall.sources.signatures import list_signatures, register_signatures
+from tidewall.streaming.review import current_logs, outcomes, start_review
 from tidewall.streaming.screening import DECIDED_SCHEMA, decisions_sink, risk_by_day_stream, screen_stream
 
 D = "double"
@@ -303,9 +304,8 @@ def tool_permission(spark, sf_dir):
 
 @query("destructive_arguments", f"WITH {_GUARD_SQL} SELECT call_id, word FROM words")
 def destructive_arguments(spark, sf_dir):
-    return inputs.tool_calls(spark, sf_dir).select(
-        "call_id", guard.destructive_keyword(F.col("args_json"), _policy(spark)).alias("word")
-    )
+    calls = guard.decoded(inputs.tool_calls(spark, sf_dir))
+    return calls.select("call_id", guard.destructive_keyword(_policy(spark)).alias("word"))
 
 
 @query("domain_allowlist", f"WITH {_GUARD_SQL} SELECT call_id, host FROM hosts")
@@ -595,6 +595,39 @@ def decisions_stream(spark, sf_dir):
     return spark.read.schema(DECIDED_SCHEMA).parquet(f"{folder}/rows").select("approval_id", "decision_id", "status", "reviewer_id")
 
 
+def _reviewed(spark, sf_dir):
+    """(tickets, folder of outcomes) of the events as decisions, streamed against the tickets of the logs."""
+    tickets, folder = inputs.event_tickets(spark, sf_dir), _scratch(spark)
+    decisions = inputs.as_decisions(_read_stream(spark, sf_dir, "events"))
+    start_review(
+        decisions, tickets, f"{folder}/rows", f"{folder}/state", partitions=spark.sparkContext.defaultParallelism, availableNow=True
+    ).awaitTermination()
+    return tickets, f"{folder}/rows"
+
+
+@query(
+    "review_stream",
+    f"""WITH {_DECIDED}
+SELECT decision_id, approval_id, CAST(NULL AS VARCHAR) AS status, 'Status must be either APPROVED or REJECTED' AS error FROM decisions WHERE upper(status) NOT IN ('APPROVED', 'REJECTED')
+UNION ALL SELECT decision_id, approval_id, NULL, 'Human approval ticket not found.' FROM valid WHERE approval_id NOT IN (SELECT approval_id FROM tickets)
+UNION ALL SELECT r.decision_id, r.approval_id, NULL, 'This ticket has already been processed with verdict: ' || d.status || '.' FROM ranked r JOIN decided d USING (approval_id) WHERE r.rn > 1
+UNION ALL SELECT r.decision_id, r.approval_id, r.verdict, NULL FROM ranked r JOIN tickets USING (approval_id) WHERE r.rn = 1""",
+)
+def review_stream(spark, sf_dir):
+    """Every decision of the stream: the ticket that it decided, or why it changed nothing."""
+    return outcomes(spark, *_reviewed(spark, sf_dir)).select("decision_id", "approval_id", "status", "error")
+
+
+@query(
+    "review_stream_logs",
+    f"""WITH {_DECIDED} SELECT l.log_id, CASE d.status WHEN 'APPROVED' THEN 'ALLOW' WHEN 'REJECTED' THEN 'BLOCK' ELSE l.action END AS action
+FROM logs l LEFT JOIN decided d USING (log_id)""",
+)
+def review_stream_logs(spark, sf_dir):
+    """Logs after the stream of decisions."""
+    return current_logs(_logs(spark, sf_dir), *_reviewed(spark, sf_dir)).select("log_id", "action")
+
+
 @query("risk_by_day_stream", f"WITH {LOGS} SELECT CAST(ts AS DATE) AS day, avg(risk) AS mean_risk, count(*) AS n FROM logs GROUP BY ALL")
 def risk_by_day_stream_query(spark, sf_dir):
     rows = _read_stream(spark, sf_dir, "events").select(

@@ -19,7 +19,8 @@ from tidewall.plans import inputs, oracle
 from tidewall.plans.catalog import query
 from tidewall.plans.oracle import q
 from tidewall.sources.audit_store import log_rows, read_audit, write_audit
-from tidewall.sources.prompts import accept, decode_attachment
+from tidewall.sources.prompts import accept, decode_attachment, load_prompts
+from tidewall.streaming.screening import audit_sink
 
 D = "double"
 
@@ -163,12 +164,12 @@ def audit_logs(spark, sf_dir):
     return log_rows(_screened(spark, sf_dir), "prompt_id", "session_id", "ts", "prompt")
 
 
-@query(
-    "audit_round_trip",
-    f"""WITH {oracle.screened()}
+_AUDIT_SQL = f"""WITH {oracle.screened()}
 SELECT prompt_id AS log_id, session_id, ts, prompt AS raw_input, CAST(risk AS DOUBLE) AS risk, action,
-       CASE WHEN action = 'HUMAN_REVIEW' THEN 1 ELSE 0 END AS n_tickets, action <> 'ALLOW' AS has_events FROM screened""",
-)
+       CASE WHEN action = 'HUMAN_REVIEW' THEN 1 ELSE 0 END AS n_tickets, action <> 'ALLOW' AS has_events FROM screened"""
+
+
+@query("audit_round_trip", _AUDIT_SQL)
 def audit_round_trip(spark, sf_dir):
     """All prompts through the store in two batches of two runs, one of them replayed, read back with what hangs on them."""
     prompts, store = inputs.prompts(spark, sf_dir), shared_folder(spark, "audit")
@@ -176,6 +177,10 @@ def audit_round_trip(spark, sf_dir):
     write_audit(prompts.where(early), store, "first", 0)
     for _ in range(2):
         write_audit(prompts.where(~early), store, "second", 0)
+    return _stored(spark, store)
+
+
+def _stored(spark, store):
     logs, events, tickets = read_audit(spark, store)
     marked = events.where("agent_source = 'RISK_SCORE'").select("log_id", F.lit(True).alias("has_events")).distinct()
     held = tickets.groupBy("log_id").agg(F.count(F.lit(1)).cast("int").alias("n_tickets"))
@@ -186,6 +191,17 @@ def audit_round_trip(spark, sf_dir):
     )
 
 
+@query("audit_stream", _AUDIT_SQL)
+def audit_stream(spark, sf_dir):
+    """The same rows through the streaming sink: micro-batches from files, each stored by one commit."""
+    folder = shared_folder(spark, "audit-stream")
+    prompts = inputs.prompts(spark, sf_dir)
+    prompts.write.parquet(f"{folder}/in")
+    stream = load_prompts(spark, f"{folder}/in", streaming=True, schema=prompts.schema)
+    audit_sink(stream, f"{folder}/store", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return _stored(spark, f"{folder}/store")
+
+
 @query(
     "review_tickets",
     f"WITH {oracle.screened()} SELECT prompt_id AS approval_id, prompt_id AS log_id, 'PENDING' AS status, ts AS created_at FROM screened WHERE action = 'HUMAN_REVIEW'",

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewall import fixed
 from tidewall.functions.crypto import encrypt_col
-from tidewall.operators.risk import all_events, review_tickets, screen
+from tidewall.operators.risk import event_array, screen
 
 
 def log_rows(screened: DataFrame, key: str, session: str, ts: str, prompt: str, secret: str | None = None) -> DataFrame:
@@ -37,58 +38,61 @@ def write_audit(
     secret: str | None = None,
     **screening,
 ) -> None:
-    """Screen prompts and write logs, events and tickets.
+    """Screen prompts and store them with their events and tickets: one row a prompt, one job and one commit a batch.
 
     A batch is named by its run and its number in the run; it replaces what the same batch of the same run has stored,
-    so one that is run again after a failure changes nothing, and no batch touches what another one stored.
-
-    Prompts are screened once: the result is staged, the three tables are read off it, and the stage is removed when
-    they are written.
+    so one that is run again after a failure changes nothing, and no batch touches what another one stored.  A row
+    holds its events and its ticket, so a job that dies at any point leaves no log without them, and `read_audit`
+    leaves out a batch whose commit has not ended.
     """
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
         raise ValueError("a run is named by letters, digits and _ . -")
-    spark = prompts.sparkSession
-    staged = screen(prompts, prompt, **screening)
-    if secret:
-        staged = staged.withColumn(prompt, encrypt_col(F.coalesce(F.col(prompt), F.lit("")), secret))
-    stage = f"{path}/staged/{run_id}-{batch_id}"
-    staged.write.mode("overwrite").parquet(stage)
-    done = spark.read.schema(staged.schema).parquet(stage)
-    for name, rows in (
-        ("logs", log_rows(done, key, session, ts, prompt)),
-        ("events", all_events(done, key, ts)),
-        ("tickets", review_tickets(done, key, ts)),
-    ):
-        day = "created_at" if name == "tickets" else "ts"
-        # The batch has a folder of its own, which is replaced as a whole; a batch without rows leaves an empty one.
-        rows.withColumn("day", F.to_date(day)).write.mode("overwrite").partitionBy("day").parquet(
-            f"{path}/{name}/run={run_id}/batch={batch_id}"
-        )
-    folder = spark._jvm.org.apache.hadoop.fs.Path(stage)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    screened = screen(prompts, prompt, **screening)
+    rows = request_rows(screened, key, session, ts, prompt, secret).withColumn("day", F.to_date("ts"))
+    # The batch has a folder of its own, which is replaced as a whole; a batch without rows leaves an empty one.
+    rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/requests/run={run_id}/batch={batch_id}")
+
+
+def request_rows(screened: DataFrame, key: str, session: str, ts: str, prompt: str, secret: str | None = None) -> DataFrame:
+    """One row per prompt: its log, with `events` (an array) and `ticket` (a struct, null where none is opened)."""
+    raw = F.coalesce(F.col(prompt), F.lit(""))
+    ticket = F.struct(
+        F.col(key).alias("approval_id"), F.col(key).alias("log_id"), F.lit(fixed.PENDING).alias("status"),
+        F.lit(None).cast("string").alias("reviewer_id"), F.lit(None).cast("string").alias("review_notes"),
+        F.col(ts).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("reviewed_at"),
+    )
+    return screened.select(
+        F.col(key).alias("log_id"), F.col(session).alias("session_id"), F.col(ts).alias("ts"),
+        (encrypt_col(raw, secret) if secret else raw).alias("raw_input"), "sanitized_input",
+        F.col("risk").cast("double").alias("risk"), "action", event_array().alias("events"),
+        F.when(F.col("action") == "HUMAN_REVIEW", ticket).alias("ticket"),
+    )
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the batches whose commit has ended: the committer marks each with a file when all rows are there."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/requests/run=*/batch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(status.getPath().getParent().toString() for status in found or [])
 
 
 def read_audit(
     spark: SparkSession, path: str, key: str = "bigint", session: str = "string", ts: str = "timestamp_ntz"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(logs, events, tickets) of all runs; tables that nothing has been written to are empty.
+    """(logs, events, tickets) of all runs, three views of one table; empty where nothing has been written.
 
     `key`, `session` and `ts` are the types that the prompts had.
     """
     one = spark.createDataFrame([], f"prompt_id {key}, session_id {session}, ts {ts}, prompt string")
-    screened = screen(one, "prompt")
-    shapes = {
-        "logs": log_rows(screened, "prompt_id", "session_id", "ts", "prompt"),
-        "events": all_events(screened, "prompt_id", "ts"),
-        "tickets": review_tickets(screened, "prompt_id", "ts"),
-    }
-
-    def read(name: str) -> DataFrame:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        schema = shapes[name].schema
-        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            return spark.createDataFrame([], schema)
+    schema = request_rows(screen(one, "prompt"), "prompt_id", "session_id", "ts", "prompt").schema
+    folders = committed(spark, path)
+    if folders:
         # with the folders' columns, which Spark adds, left out again
-        return spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
-
-    return read("logs"), read("events"), read("tickets")
+        rows = spark.read.schema(schema).option("basePath", f"{path}/requests").parquet(*folders).select(*schema.names)
+    else:
+        rows = spark.createDataFrame([], schema)
+    return (
+        rows.drop("events", "ticket"),
+        rows.select("log_id", "ts", F.inline("events")),
+        rows.where(F.col("ticket").isNotNull()).select("ticket.*"),
+    )
