@@ -43,7 +43,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Merges:
     """For each token the two tokens that its last merge joins, and whether two tokens can stand side by side."""
 
-    def __init__(self, ranks: dict[bytes, int], seams: int):
+    def __init__(self, ranks: dict[bytes, int], seams: int = 2 * MEMORY // PER_STATE):
         self.ranks = ranks
         self._limit = seams
         self.bytes = {rank: token for token, rank in ranks.items()}
