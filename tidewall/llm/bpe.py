@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from tidewall.llm.common import get, kept, task, utf8
 
 #: Bytes that an encoder may keep in a worker, about: states and seams of the transducer, and texts seen before.
-MEMORY = 256 << 20
-#: What a state, with its transitions and seams, and what an entry of a memory takes beside its text and ids.
-PER_STATE = 1024
+MEMORY = 640 << 20
+#: Of the bound, one state for so many bytes (it takes some 900 with its transitions and seams; most of the bound is for
+#: texts seen before), and what an entry of a memory takes beside its text and ids.
+PER_STATE = 2560
 PER_ENTRY = 120
 SPACE = r"\t-\r \x85\xa0  -     　"
 
