@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: The executors have run four stages when the encoder comes, and their heaps are large by then.
-ENCODER_BYTES = 48 << 20
+ENCODER_BYTES = 96 << 20
 
 STAGES = [
     ("toxicity", drop_toxic),
