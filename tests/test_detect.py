@@ -2,12 +2,13 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewall import fixed
-from tidewall.functions.dialect import linear
+from tidewall.functions.dialect import linear, search_pattern
 from tidewall.functions.text import char_sum, complexity, matched_tokens, squash, text_profile
 from tidewall.operators.detect import detect, with_labels, with_text_forms
 from tidewall.operators.redact import pii_summary, redact
@@ -72,9 +73,104 @@ def test_labels_equal_direct_evaluation(spark):
     assert hits > 500
 
 
+def _patterns():
+    """(pattern, whether letter case is ignored) of all rules that look for a pattern."""
+    rules = [(p, f.text in ("any", "lower")) for d in fixed.TEXT_RULE_DETECTORS for f in d.families for p in f.patterns]
+    return list(dict.fromkeys(rules + [(p, True) for row in fixed.CLASSIFIER for p in row[1]]))
+
+
+def _sample(parsed, rng, groups):
+    """A text that the parsed pattern matches, as far as its word limits allow."""
+    out = ""
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "NOT_LITERAL":
+            out += rng.choice("x \n<(")
+        elif kind == "ANY":
+            out += rng.choice("x '\"|>);-e")
+        elif kind == "IN":
+            if str(value[0][0]) == "CATEGORY":
+                out += {"SPACE": rng.choice([" ", "\n", "\t"]), "DIGIT": "7", "WORD": "w"}[str(value[0][1]).rpartition("_")[2]]
+            else:
+                _, item = rng.choice(value)
+                out += chr(item if isinstance(item, int) else rng.randint(*item) if isinstance(item, tuple) else 55)
+        elif kind.endswith("REPEAT"):
+            low, high, inner = value
+            for _ in range(rng.choice([low, low, min(int(high), low + 1), min(int(high), low + 3)])):
+                out += _sample(inner, rng, groups)
+        elif kind == "SUBPATTERN":
+            text = _sample(value[3], rng, groups)
+            groups[value[0]] = text
+            out += text
+        elif kind == "BRANCH":
+            out += _sample(rng.choice(value[1]), rng, groups)
+        elif kind == "GROUPREF":
+            out += groups.get(value, "")
+        else:
+            assert kind == "AT", kind
+    return out
+
+
+def test_patterns_equal_direct_evaluation_over_lines(spark):
+    rng = random.Random(11)
+    gaps = ["", " ", "\n", " ", "\n", " \n\n", "x", "; ", "> ", "'", ")", "|"]
+    patterns, texts = _patterns(), []
+    for n, (pattern, _) in enumerate(patterns):
+        parsed = re._parser.parse(pattern)
+        for _ in range(300):
+            text = rng.choice(gaps)
+            for _ in range(rng.randint(1, 4)):
+                sample = _sample(parsed, rng, {})
+                for _ in range(rng.randint(0, 2)):  # cut something out, or break the line
+                    at = rng.randint(0, len(sample))
+                    sample = sample[:at] + rng.choice(["\n", " ", "", "x"]) + sample[at + rng.choice([0, 1, 1, 8]):]
+                text += sample + rng.choice(gaps)
+            texts.append((n, text))
+    rows = [(i, n, (t.lower() if patterns[n][1] else t)) for i, (n, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i long, n int, t string").repartition(8)
+    found = {}
+    for n, (pattern, folded) in enumerate(patterns):
+        found[n] = F.when(F.col("n") == n, F.rlike("t", F.lit(search_pattern(pattern, folded))))
+    got = {r["i"]: r["hit"] for r in df.select("i", F.coalesce(*found.values()).alias("hit")).collect()}
+    hits, misses = set(), set()
+    for i, n, text in rows:
+        want = re.search(patterns[n][0], text, re.IGNORECASE if patterns[n][1] else 0) is not None
+        assert got[i] == want, (patterns[n], search_pattern(*patterns[n]), text)
+        (hits if want else misses).add(n)
+    assert len(hits) == len(patterns) and len(misses) > 0.9 * len(patterns)
+
+
+HOSTILE = (
+    "python -c 'import socket ", "python -c 'import socket os.dup2 ", "python\n-c\n'import\nsocket os.dup2 ", "perl -e 'socket open( stdin ",
+    "php -r 'fsockopen ", "ruby -e 'tcpsocket ", "nc -", "nc x -e ", "nc\n", "e", "curl ", "curl | ", "wget\n", "chmod +x && ",
+    "echo | base64 -d | ", "python ", "python3 -", "perl ", "select ", "select \n", "select\n\nfrom ", "update ", "/*", "/* *", "<script ", "<script>",
+    "<script\n", "<script\n>", "<img ", "<img onerror", "<iframe ", "onx='", "onx=\n", "href='javascript:", "src = \n", "alert(",
+    "confirm(", "prompt(", "eval(", "eval (", "tell me ", "tell\nme ", "give\nme system\n", "reveal ", "reveal prompt", "repeat ",
+    "repeat\n", "imagine you are ", "imagine\nyou are a ", "simulating a ", "no ", "nono", "ignore ", "act as an ", " ", "\n", " \n", "; ",
+    "\nimport ", "import\n", "'or a=", "' or ", "or 'a' ", "' ", "\"", "mkfifo /tmp/w ", "cmd.exe ", "bash -i ", "-- ", "-", "union all ", "exec ",
+    "what is your ", "how were you ", "instruction\n", "1", "do anything ", "(", "sudo ", "rm -rf ", "bash\n-i >",
+)
+
+
+def test_hostile_texts_take_linear_time(spark):
+    """One million signs of each, every pattern on each: none may read its lines again and again."""
+    size = 1_000_000
+    rows = [(n, (h * (size // len(h) + 1))[:size]) for n, h in enumerate(HOSTILE)]
+    df = spark.createDataFrame(rows, "n int, t string").repartition(len(rows)).cache()
+    df.count()
+    hits = [F.rlike("t", F.lit(search_pattern(p, folded))).cast("int") for p, folded in _patterns()]
+    begin = time.monotonic()
+    assert df.select(sum(hits[1:], hits[0]).alias("h")).agg(F.sum("h")).first()[0] > 0
+    assert time.monotonic() - begin < 60  # one rescanned line of a million signs alone takes longer
+
+
 def test_linear_form():
     assert linear(r"(a|b)\b.*\b(c|d)") == r"(?m)^(?>.*?(a|b)\b).*\b(c|d)"
-    assert linear(r"(a\s+b)\b.*\b(c)") == r"(a\s+b)\b.*\b(c)"
+    assert linear(r"a\s+b") == r"a\s+b"
+    assert linear(r"a.*b.*c") == r"(?m)^(?>.*?a)(?>.*?b).*c"
+    assert linear(r"<a[^>]*>") == r"\A(?>(?s).*?(?-s)<a)[^>]*+>"
 
 
 def test_character_statistics(spark):

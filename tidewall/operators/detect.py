@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewall import fixed
-from tidewall.functions.dialect import fold, fold_lower, java_pattern
+from tidewall.functions.dialect import fold, fold_lower, search_pattern
 from tidewall.functions.plan import pinned, text_literal
 from tidewall.functions.text import SEEN_BITS, text_profile
 
@@ -229,7 +229,7 @@ def hit_sql(pattern: str, groups: tuple[tuple[str, ...], ...], text_mode: str, r
     source, folded = {
         "any": ("_fold", True), "lower": ("_flower", True), "lower_raw": ("_lower", False), "raw": (raw, False),
     }[text_mode]
-    return f"({gate_sql(groups)} AND rlike({source}, {text_literal(java_pattern(pattern, folded))}))"
+    return f"({gate_sql(groups)} AND rlike({source}, {text_literal(search_pattern(pattern, folded))}))"
 
 
 def rule_labels(detector: fixed.Detector, raw: str) -> Column:
