@@ -178,6 +178,13 @@ def test_utf8_stream_at_any_cut():
 # token counts
 
 
+def test_ids_beyond_the_width_are_an_error_however_long_the_text():
+    assert tokencount.narrow(np.array([0, 65535], "<u4")).tobytes() == b"\0\0\xff\xff"
+    assert tokencount.narrow(np.array([], "<u4")).tobytes() == b""
+    with pytest.raises(ValueError, match="70000"):
+        tokencount.narrow(np.array([5, 70000], "<u4"))
+
+
 def test_token_counts(docs, library, tmp_path):
     names = tokencount.write_flat(docs, RANKS, public_tokenizers.PATTERN, 50256, folder=f"file://{tmp_path}", file_bytes=1 << 12)
     for block in (64, 1 << 20):

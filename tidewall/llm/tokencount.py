@@ -40,12 +40,19 @@ def _encode(ranks: str, pattern: str):
 
     def run(text: str) -> np.ndarray:
         if len(text) < LONG_TEXT:
-            return np.array(library.encode_ordinary(text), "<u2")
-        return np.frombuffer(Encoder.shared(ranks, pattern).encode(text), "<u4").astype("<u2")
+            return narrow(np.array(library.encode_ordinary(text), "<u4"))
+        return narrow(np.frombuffer(Encoder.shared(ranks, pattern).encode(text), "<u4"))
 
     return run
 
 
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """Ids as the files hold them; a larger one is an error, whatever text it comes from."""
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} does not fit in 16 bits")
+    return ids.astype("<u2")
+
+
 def write_flat(
     docs: DataFrame, ranks: str, pattern: str, end_id: int, *, id: str = "doc_id", text: str = "text",
     folder: str | None = None, file_bytes: int = FILE_BYTES,
@@ -59,7 +66,7 @@ def write_flat(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = _encode(ranks, pattern), TaskContext.get()
-        end = np.array([end_id], "<u2").tobytes()
+        end = narrow(np.array([end_id], "<u4")).tobytes()
         number, out, size, ids = 0, [], 0, []
 
         def flush():
