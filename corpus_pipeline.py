@@ -54,8 +54,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, ranks, pattern, keep_ids=True, memory=ENCODER_BYTES)
 
 
-#: The executors have run four stages when the encoder comes, and their heaps are large by then.
-ENCODER_BYTES = 96 << 20
+#: The executors have run four stages when the encoder comes, and their heaps are large by then; an executor of two cores
+#: may have four Python workers that take turns, each with an encoder of its own.
+ENCODER_BYTES = 32 << 20
 
 STAGES = [
     ("toxicity", drop_toxic),
