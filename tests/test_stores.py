@@ -2,6 +2,8 @@
 
 import base64
 import datetime
+import random
+import re
 import time
 
 import numpy as np
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from tidewall import fixed
 from tidewall.functions.crypto import FAILED, decrypt_col, encrypt_col
 from tidewall.operators.audit import rejected_decisions, sync_verdict
-from tidewall.operators.files import file_ext, malware_labels, sandbox_labels, sandbox_text
+from tidewall.operators.files import byte_marks, file_ext, file_gate, malware_labels, sandbox_labels, sandbox_text, scan_files
 from tidewall.operators.guard import guard, server_tools
 from tidewall.operators.kpi import kpi_trend, kth_smallest
+from tidewall.operators.risk import screen
 from tidewall.operators.similarity import match_signatures
 from tidewall.plans import inputs
 from tidewall.sources.audit_store import read_audit, write_audit
@@ -46,6 +49,36 @@ def test_file_checks(spark):
         assert (r["m"], r["s"]) == (rows[r["i"]][2], rows[r["i"]][3]), rows[r["i"]][0]
 
 
+def test_byte_marks_equal_patterns_over_the_bytes(spark):
+    rng = random.Random(3)
+    parts = [x.encode() for x in (*fixed.OFFICE_MACRO_STRINGS, *fixed.OFFICE_MACRO_STRINGS_EXACT_CASE, *fixed.PDF_ACTIVE_STRINGS)]
+    parts += [p.decode().encode("utf-16-le") for p in parts] + [p.lower() for p in parts] + [b"\0", b"x", b"\xff", b"V", b"/J"]
+    parts += [b"PK\x05\x06", b"%%EOF", b"PK\x01\x02" + b"." * 42, b"word/vbaProject.bin", b"VbA.bin", b"a.bin\0", b"PK\x03\x04"]
+    files = [b"".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(400)] + [None, b""]
+    df = spark.createDataFrame([(i, None if f is None else bytearray(f)) for i, f in enumerate(files)], "i int, c binary")
+    rows = {r["i"]: r["m"] for r in df.select("i", byte_marks("c").alias("m")).collect()}
+
+    def either(literals):
+        return b"|".join(re.escape(w) for s in literals for w in (s.encode(), s.encode("utf-16-le")))
+
+    name = rb"(?:[ -~]*vbaProject|(?=[ -~]*[vV][bB][aA])[ -~]*\.bin(?![ -~]))"
+    for i, data in enumerate(files):
+        data = data or b""
+        macro = re.search(either(fixed.OFFICE_MACRO_STRINGS), data, re.I) or re.search(either(("VBA",)), data)
+        want = [macro, re.search(either(fixed.PDF_ACTIVE_STRINGS), data, re.I), b"PK\x05\x06" in data, b"%%EOF" in data]
+        assert rows[i]["seen"] == sum(bool(w) << n for n, w in enumerate(want)), data
+        assert rows[i]["entries"] == len(re.findall(rb"(?s)PK\x01\x02.{42}" + name, data)), data
+
+
+def test_all_file_checks_read_the_bytes_once(spark):
+    df = spark.createDataFrame([("a.pdf", bytearray(b"%PDF"), "read")], "n string, c binary, prompt string")
+    scanned = [scan_files(df, "c", "n", d) for d in (fixed.MALWARE, fixed.SANDBOX)] + [file_gate(df, "c", "n")]
+    for out in (*scanned, screen(df, content="c", file_name="n")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("marks(c#") == 1 or plan.count("[marks(") == 1, plan[:2000]
+        assert "ISO-8859-1" not in plan
+
+
 def test_file_ext_and_text(spark):
     names = {"a.b.TXT": ".txt", ".profile": "", "noext": "", "d.x/y": "", "a.": ".", None: ""}
     df = spark.createDataFrame([(n,) for n in names], "n string")

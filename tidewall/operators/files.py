@@ -30,28 +30,72 @@ def starts_with(content: Column, header: bytes) -> Column:
     return F.coalesce(F.substring(content, 1, len(header)) == F.lit(header), F.lit(False))
 
 
-def _byte_text(content: Column) -> Column:
-    """Bytes as characters, one to one."""
-    return F.decode(content, "ISO-8859-1")
+#: Bits of `seen` in what `byte_marks` finds.
+_MACRO, _ACTIVE, _ZIP_END, _PDF_END = 1, 2, 4, 8
 
 
-def _either_width(literals: tuple[str, ...]) -> str:
-    """Alternation of literals, plain and with a zero byte after every character."""
-    plain = ["".join("\\" + c if c in "/_" else c for c in s).replace("\\_", "_") for s in literals]
-    wide = ["".join(c + r"\x00" for c in s) for s in literals]
-    return "|".join(plain + wide)
+def byte_marks(content: Column | str) -> Column:
+    """What the checks look for inside a file, in one pass over its bytes: struct of `seen` (bits) and `entries`.
 
+    One Arrow batch function over the BINARY column: bytes are neither decoded nor read once per check.  Literals count
+    plain and with a zero byte after every character.  `entries` are the macro project entries of a zip directory, whose
+    names stand in clear: a directory record is PK\\x01\\x02, 42 more bytes, then the name.  Null and empty: nothing.
+    """
+    return _marks_udf(
+        (
+            (_MACRO, True, _either_width(fixed.OFFICE_MACRO_STRINGS)),
+            (_MACRO, False, _either_width(fixed.OFFICE_MACRO_STRINGS_EXACT_CASE)),
+            (_ACTIVE, True, _either_width(fixed.PDF_ACTIVE_STRINGS)),
+            (_ZIP_END, False, (b"PK\x05\x06",)),
+            (_PDF_END, False, (b"%%EOF",)),
+        )
+    )(_col(content))
+
+
+def _either_width(literals: tuple[str, ...]) -> tuple[bytes, ...]:
+    return tuple(s.encode("ascii") for s in literals) + tuple(s.encode("utf-16-le") for s in literals)
+
+
+def _marks_udf(groups: tuple[tuple[int, bool, tuple[bytes, ...]], ...]):
+    """Built inside a function so that it ships by value; groups are (bit, any letter case, literals)."""
+    any_case = [(bit, [x.lower() for x in literals]) for bit, folded, literals in groups if folded]
+    exact = [(bit, literals) for bit, folded, literals in groups if not folded]
+    # name characters only, so that a match stays inside one record
+    name = rb"(?:[\x20-\x7e]*vbaProject|(?=[\x20-\x7e]*[vV][bB][aA])[\x20-\x7e]*\.bin(?![\x20-\x7e]))"
+    record = rb"(?s)PK\x01\x02.{42}" + name
+
+    @F.arrow_udf("struct<seen:bigint,entries:bigint>")
+    def marks(contents):
+        import re
+
+        import pyarrow as pa
+
+        entry, seen, entries = re.compile(record), [], []
+        for value in contents:
+            raw = value.as_py() or b""
+            low, bits = raw.lower(), 0
+            for data, group in ((low, any_case), (raw, exact)):
+                for bit, literals in group:
+                    if not bits & bit and any(x in data for x in literals):
+                        bits |= bit
+            seen.append(bits)
+            entries.append(sum(1 for _ in entry.finditer(raw)) if b"PK\x01\x02" in raw else 0)
+        return pa.StructArray.from_arrays([pa.array(seen, pa.int64()), pa.array(entries, pa.int64())], ["seen", "entries"])
 
-def office_macro(content: Column) -> Column:
+    return marks
+
+
+def _seen(marks: Column, bit: int) -> Column:
+    return marks["seen"].bitwiseAND(F.lit(bit)) != 0
+
+
+def office_macro(marks: Column) -> Column:
     """Auto-run macro names (any case) or the VBA marker (exact case), narrow or UTF-16."""
-    text = _byte_text(content)
-    return F.rlike(text, F.lit("(?i)" + _either_width(fixed.OFFICE_MACRO_STRINGS))) | F.rlike(
-        text, F.lit(_either_width(fixed.OFFICE_MACRO_STRINGS_EXACT_CASE))
-    )
+    return _seen(marks, _MACRO)
 
 
-def pdf_active_content(content: Column) -> Column:
-    return F.rlike(_byte_text(content), F.lit("(?i)" + _either_width(fixed.PDF_ACTIVE_STRINGS)))
+def pdf_active_content(marks: Column) -> Column:
+    return _seen(marks, _ACTIVE)
 
 
 def _dword(content: Column, start: Column | int) -> Column:
@@ -69,8 +113,10 @@ def executable_in_document(content: Column) -> Column:
     return starts_with(content, b"MZ") & inside & (F.substr(content, at, F.lit(4)) == F.lit(b"PE\x00\x00"))
 
 
-def malware_labels(content: Column | str, name: Column | str) -> Column:
+def malware_labels(content: Column | str, name: Column | str, marks: Column | str | None = None) -> Column:
+    """Labels of the malware detector; ``marks`` is a column of `byte_marks` where there is one already."""
     c, ext = _col(content), file_ext(name)
+    found = byte_marks(c) if marks is None else _col(marks)
     return F.when(
         _has_bytes(c),
         F.array_compact(
@@ -78,9 +124,9 @@ def malware_labels(content: Column | str, name: Column | str) -> Column:
                 F.when(ext.isin(*fixed.BLOCKED_EXTENSIONS), F.lit("MALWARE_EXTENSION")),
                 F.when(starts_with(c, b"MZ"), F.lit("EMBEDDED_PE_HEADER")),
                 F.when(starts_with(c, b"\x7fELF"), F.lit("ELF_BINARY_HEADER")),
-                F.when(office_macro(c), F.lit("YARA_OFFICEMACROTRIGGER")),
+                F.when(office_macro(found), F.lit("YARA_OFFICEMACROTRIGGER")),
                 F.when(executable_in_document(c), F.lit("YARA_EXECUTABLEINDOCUMENT")),
-                F.when(pdf_active_content(c), F.lit("YARA_PDFMALICIOUSTRIGGERS")),
+                F.when(pdf_active_content(found), F.lit("YARA_PDFMALICIOUSTRIGGERS")),
             )
         ),
     ).otherwise(F.array().cast("array<string>"))
@@ -96,29 +142,23 @@ def type_mismatch(content: Column, ext: Column) -> Column:
     )
 
 
-def macro_entries(content: Column, ext: Column) -> Column:
-    """Number of macro project entries in an Office container.
-
-    Names in a zip directory are stored in clear: a directory record is PK\\x01\\x02, 42 more bytes, then the name.
-    """
-    # name characters only, so that a match stays inside one record
-    record = (
-        r"(?s)PK\x01\x02.{42}(?:[\x20-\x7e]*vbaProject|(?=[\x20-\x7e]*[vV][bB][aA])[\x20-\x7e]*\.bin(?![\x20-\x7e]))"
-    )
+def macro_entries(content: Column, ext: Column, marks: Column) -> Column:
+    """Number of macro project entries in an Office container."""
     applies = ext.isin(*fixed.OFFICE_EXTENSIONS) & starts_with(content, b"PK\x03\x04")
-    return F.when(applies, F.regexp_count(_byte_text(content), F.lit(record))).otherwise(0)
+    return F.when(applies, marks["entries"].cast("int")).otherwise(0)
 
 
-def structure_corrupt(content: Column, ext: Column) -> Column:
+def structure_corrupt(content: Column, ext: Column, marks: Column) -> Column:
     """No parser could open the file: the directory of a container or the trailer of a PDF is missing."""
-    text = _byte_text(content)
-    zip_ok = starts_with(content, b"PK\x03\x04") & F.contains(text, F.lit("PK\x05\x06"))
-    pdf_ok = starts_with(content, b"%PDF") & F.contains(text, F.lit("%%EOF"))
+    zip_ok = starts_with(content, b"PK\x03\x04") & _seen(marks, _ZIP_END)
+    pdf_ok = starts_with(content, b"%PDF") & _seen(marks, _PDF_END)
     return F.when(ext == ".pdf", ~pdf_ok).otherwise(ext.isin(*fixed.OFFICE_EXTENSIONS) & ~zip_ok)
 
 
-def sandbox_labels(content: Column | str, name: Column | str) -> Column:
+def sandbox_labels(content: Column | str, name: Column | str, marks: Column | str | None = None) -> Column:
+    """Labels of the sandbox detector; ``marks`` as for `malware_labels`."""
     c, ext = _col(content), file_ext(name)
+    found = byte_marks(c) if marks is None else _col(marks)
     return F.when(
         _has_bytes(c),
         F.concat(
@@ -128,8 +168,8 @@ def sandbox_labels(content: Column | str, name: Column | str) -> Column:
                     F.when(type_mismatch(c, ext), F.lit("MISMAPPED_MIME_TYPE")),
                 )
             ),
-            F.array_repeat(F.lit("VBA_MACRO_ARCHIVE"), macro_entries(c, ext)),
-            F.array_compact(F.array(F.when(structure_corrupt(c, ext), F.lit("PARSER_STRUCTURE_CORRUPTION")))),
+            F.array_repeat(F.lit("VBA_MACRO_ARCHIVE"), macro_entries(c, ext, found)),
+            F.array_compact(F.array(F.when(structure_corrupt(c, ext, found), F.lit("PARSER_STRUCTURE_CORRUPTION")))),
         ),
     ).otherwise(F.array().cast("array<string>"))
 
@@ -158,7 +198,8 @@ def scan_files(df: DataFrame, content: str, name: str, detector: fixed.Detector)
         "malware": (malware_labels, "unnamed"),
         "sandbox": (sandbox_labels, "document"),
     }[detector.key]
-    out = df.withColumn("labels", make(content, name))
+    out = df.withColumn("_marks", pinned(byte_marks(content)))
+    out = out.withColumn("labels", make(content, name, "_marks"))
     out = out.withColumn("_caption", F.when(F.size("labels") > 0, file_caption(content, name, unnamed)))
     out = out.withColumn("_stats", F.when(F.size("labels") > 0, short_text_stats("_caption")))
     out = with_override(out, "_caption", "_stats")
@@ -242,7 +283,8 @@ def file_gate(df: DataFrame, content: str, name: str, extracted: str | None = No
     """Older gate: a list of threats, safe when empty; text only of safe files."""
     c, ext = F.col(content), file_ext(name)
     megabytes = F.length(c) / F.lit(1024.0 * 1024.0)
-    macro_bytes = office_macro(c)
+    found = F.col("_marks")
+    macro_bytes = office_macro(found)
     threats = F.when(
         _has_bytes(c),
         F.array_compact(
@@ -269,18 +311,18 @@ def file_gate(df: DataFrame, content: str, name: str, extracted: str | None = No
                 ),
                 F.when(macro_bytes, F.lit("YARA Alert: OfficeMacroTrigger matched.")),
                 F.when(executable_in_document(c), F.lit("YARA Alert: ExecutableInDocument matched.")),
-                F.when(pdf_active_content(c), F.lit("YARA Alert: PDFMaliciousTriggers matched.")),
+                F.when(pdf_active_content(found), F.lit("YARA Alert: PDFMaliciousTriggers matched.")),
                 F.when(
-                    ~macro_bytes & (macro_entries(c, ext) > 0),
+                    ~macro_bytes & (macro_entries(c, ext, found) > 0),
                     F.lit("YARA Alert: OfficeMacroTrigger matched. (Container scan)"),
                 ),
             )
         ),
     ).otherwise(F.array().cast("array<string>"))
-    out = df.withColumn("_before", threats)
+    out = df.withColumn("_marks", pinned(byte_marks(c))).withColumn("_before", threats)
     safe_so_far = F.size("_before") == 0
     needs_parser = (ext == ".pdf") | ext.isin(*fixed.OFFICE_EXTENSIONS)
-    broken = _has_bytes(c) & safe_so_far & structure_corrupt(c, ext)
+    broken = _has_bytes(c) & safe_so_far & structure_corrupt(c, ext, found)
     out = out.withColumn(
         "threats",
         F.when(

@@ -25,7 +25,7 @@ from tidewall.functions.scoring import (
 )
 from tidewall.functions.text import short_text_stats
 from tidewall.operators.detect import with_labels, with_profile, with_text_forms
-from tidewall.operators.files import file_caption, malware_labels, sandbox_labels, sandbox_text
+from tidewall.operators.files import byte_marks, file_caption, malware_labels, sandbox_labels, sandbox_text
 from tidewall.operators.redact import choose_sanitized, redact
 
 RESULT_TYPE = "struct<detector:string,score:decimal(5,4),confidence:decimal(5,4),matched:array<string>,reason:string>"
@@ -117,10 +117,11 @@ def with_scores(
     out = redact(out, "scanned").withColumnsRenamed({"sanitized": "masked", "entities": "labels_sensitive"})
     none = F.array().cast("array<string>")
     if content is not None:
+        out = out.withColumn("_marks", pinned(byte_marks(content)))
         out = out.withColumns(
             {
-                "labels_malware": malware_labels(content, file_name),
-                "labels_sandbox": sandbox_labels(content, file_name),
+                "labels_malware": malware_labels(content, file_name, "_marks"),
+                "labels_sandbox": sandbox_labels(content, file_name, "_marks"),
             }
         )
         for key, unnamed in (("malware", "unnamed"), ("sandbox", "document")):
