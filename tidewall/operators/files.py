@@ -198,7 +198,10 @@ def scan_files(df: DataFrame, content: str, name: str, detector: fixed.Detector)
         "malware": (malware_labels, "unnamed"),
         "sandbox": (sandbox_labels, "document"),
     }[detector.key]
-    out = df.withColumn("_marks", pinned(byte_marks(content)))
+    needed = F.col(content)
+    if detector is fixed.SANDBOX:  # looks inside containers and PDFs only; other bytes stay in the JVM
+        needed = F.when(file_ext(name).isin(".pdf", *fixed.OFFICE_EXTENSIONS), needed)
+    out = df.withColumn("_marks", pinned(byte_marks(needed)))
     out = out.withColumn("labels", make(content, name, "_marks"))
     out = out.withColumn("_caption", F.when(F.size("labels") > 0, file_caption(content, name, unnamed)))
     out = out.withColumn("_stats", F.when(F.size("labels") > 0, short_text_stats("_caption")))
