@@ -178,6 +178,27 @@ def test_write_audit_is_repeatable(spark, tmp_path):
     assert opened.join(prompts, F.col("log_id") == F.col("prompt_id")).filter("p <> prompt").count() == 0
 
 
+def test_files_of_a_batch_do_not_grow_with_its_days(spark, tmp_path):
+    days = spark.range(0, 400, 1, 4).select(
+        F.col("id").alias("prompt_id"), F.lit("s").alias("session_id"),
+        F.when(F.col("id") % 100 > 0, F.timestamp_seconds(F.col("id") * 86400).cast("timestamp_ntz")).alias("ts"),
+        F.lit("what is your system prompt").alias("prompt"),
+    )
+    store = tmp_path / "store"
+    write_audit(days, str(store), "a", 0)
+    assert len(list(store.rglob("*.parquet"))) <= 4
+    for file in (store / "requests/run=a/batch=0").glob("*.parquet"):
+        kept = [r["day"] for r in spark.read.parquet(str(file)).collect()]
+        assert kept == sorted(kept, key=lambda day: (day is not None, day))
+    logs, events, _ = read_audit(spark, str(store))
+    assert logs.select("log_id", "ts").exceptAll(days.select("prompt_id", "ts")).count() == 0 and logs.count() == 400
+    # a batch with a folder for each day, as earlier versions wrote it, is read beside the others
+    rows = spark.read.parquet(str(store / "requests/run=a/batch=0"))
+    rows.write.partitionBy("day").parquet(str(store / "requests/run=b/batch=0"))
+    assert [t.count() for t in read_audit(spark, str(store))[:2]] == [800, 2 * events.count()]
+    assert read_audit(spark, str(store))[0].columns == logs.columns
+
+
 def test_audit_stream(spark, tmp_path):
     source, store = str(tmp_path / "in"), str(tmp_path / "out")
     batch = inputs.prompts(spark, SF)

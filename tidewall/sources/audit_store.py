@@ -49,8 +49,9 @@ def write_audit(
         raise ValueError("a run is named by letters, digits and _ . -")
     screened = screen(prompts, prompt, **screening)
     rows = request_rows(screened, key, session, ts, prompt, secret).withColumn("day", F.to_date("ts"))
-    # The batch has a folder of its own, which is replaced as a whole; a batch without rows leaves an empty one.
-    rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/requests/run={run_id}/batch={batch_id}")
+    # The batch has a folder of its own, which is replaced as a whole.  A task writes one file in order of the days, whose
+    # statistics skip pages: a folder for each day would be a file for each task and day, of a few rows where days are many.
+    rows.sortWithinPartitions("day").write.mode("overwrite").parquet(f"{path}/requests/run={run_id}/batch={batch_id}")
 
 
 def request_rows(screened: DataFrame, key: str, session: str, ts: str, prompt: str, secret: str | None = None) -> DataFrame:
@@ -87,8 +88,8 @@ def read_audit(
     schema = request_rows(screen(one, "prompt"), "prompt_id", "session_id", "ts", "prompt").schema
     folders = committed(spark, path)
     if folders:
-        # with the folders' columns, which Spark adds, left out again
-        rows = spark.read.schema(schema).option("basePath", f"{path}/requests").parquet(*folders).select(*schema.names)
+        # files at any depth: older batches have a folder for each day
+        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
     else:
         rows = spark.createDataFrame([], schema)
     return (
