@@ -353,6 +353,31 @@ def test_review_over_batches_restarts_and_checkpoints(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_review_of_many_tickets_calls_python_by_bucket(spark, tmp_path):
+    big, n = 2**60, 40_000
+    tickets = spark.range(big, big + n).select(
+        F.col("id").alias("approval_id"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("log_id"), F.lit("PENDING").alias("status"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in (("reviewer_id", "string"), ("review_notes", "string"), ("created_at", "timestamp_ntz"), ("reviewed_at", "timestamp_ntz"))],
+    )
+    rows = spark.range(big, big + 2 * n).select(
+        F.when(F.col("id") % 1000 > 0, F.col("id") - F.col("id") % 2).alias("approval_id"),
+        F.when(F.col("id") % 11 > 0, F.col("id")).alias("decision_id"), F.lit("approved").alias("status"), F.lit("r").alias("reviewer_id"),
+        F.lit(None).cast("string").alias("review_notes"), F.timestamp_seconds(F.col("id") - big).alias("ts"),
+    )
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.write.parquet(source)
+    started = time.monotonic()
+    stream = spark.readStream.schema(DECISION).parquet(source)
+    start_review(stream, tickets, out, str(tmp_path / "state"), partitions=8, availableNow=True).awaitTermination()
+    took, got = time.monotonic() - started, outcomes(spark, tickets, out).cache()
+    assert got.count() == 2 * n and got.where("approval_id IS NULL AND error LIKE 'Human%'").count() == 2 * n // 1000
+    decided = got.where("error IS NULL")
+    first = rows.join(tickets, "approval_id").groupBy("approval_id").agg(F.min(F.struct("ts", "decision_id", "log_id")).alias("d"))
+    expected = first.select("approval_id", "d.decision_id", "d.log_id", "d.ts")
+    assert decided.select(*expected.columns).exceptAll(expected).count() == 0 and decided.count() == expected.count()
+    assert took < 60
+
+
 def test_rejected_decision_with_the_id_of_the_winner(spark):
     day = datetime.datetime(2024, 2, 1)
     decisions = spark.createDataFrame([(1, 10, "APPROVED", "r", None, day), (1, 10, "REJECTED", "r", None, day), (1, 10, "APPROVED", "r", None, day)], DECISION)
