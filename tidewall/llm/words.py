@@ -62,32 +62,33 @@ class WordPieces:
             self._parts, self._old_parts = {}, self._parts
         words, old = self._words, self._old_words
         new = []
-        for word in {w for split in block for w in split if w not in words}:
-            if word in old:
-                words[word] = old[word]
-            else:
+        for word in set().union(*block).difference(words):
+            known = old.get(word)
+            if known is None:
                 new.append(word)
+            else:
+                words[word] = known
         if new:
             self._learn(new)
         for split in block:
             yield b"".join(map(words.__getitem__, split))
 
-    def _cut(self, word: str) -> list[str]:
-        """A lowered word as the pattern cuts it; the two common shapes without the pattern."""
-        if word.isalpha():
-            return [word]
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return self._find(word)
-
     def _learn(self, new: list[bytes]) -> None:
-        cut, whole, unknown, parts = {}, [], {}, self._parts
+        cut, whole, unknown, parts, find = [], [], {}, self._parts, self._find
         for word in new:
             string = word.decode()
-            if "<|" in string or max(string) >= "\u0300":
+            if "<|" in string or not string.isascii() and max(string) >= "\u0300":
                 whole.append((word, string))
                 continue
-            cut[word] = pieces = self._cut(string.lower())
+            string = string.lower()
+            # As the pattern cuts it; the two common shapes without the pattern.
+            if string.isalpha():
+                pieces = (string,)
+            elif string[-1] in ".,;:!?" and string[:-1].isalpha():
+                pieces = (string[:-1], string[-1])
+            else:
+                pieces = find(string)
+            cut.append((word, pieces))
             for piece in pieces:
                 if piece not in parts:
                     if piece in self._old_parts:
@@ -107,8 +108,8 @@ class WordPieces:
             for name, end in zip(names, (ends * 4).tolist()):
                 parts[name] = raw[last:end]
                 last = end
-        for word, pieces in cut.items():
-            self._words[word] = b"".join(map(parts.__getitem__, pieces))
+        for word, pieces in cut:
+            self._words[word] = parts[pieces[0]] if len(pieces) == 1 else b"".join([parts[piece] for piece in pieces])
         if whole:
             encoded = self._tokenizer.encode_batch([s for _, s in whole], add_special_tokens=False)
             for (word, _), e in zip(whole, encoded):
