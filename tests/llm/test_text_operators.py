@@ -185,6 +185,23 @@ def test_ids_beyond_the_width_are_an_error_however_long_the_text():
         tokencount.narrow(np.array([5, 70000], "<u4"))
 
 
+def test_transducer_adds_one_state_for_a_new_piece():
+    ranks = bpe.load_ranks(RANKS)
+    machine, merges = bpe.Transducer(ranks), bpe.Merges(ranks)
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        piece = bytes(rng.choice(list(b"aeinrst" if k % 2 else range(256)), rng.integers(1, 40)).tolist())
+        before = len(machine._states)
+        for _ in range(3):
+            assert machine.run(piece) == [ranks[part] for part in merges.merge(piece)]
+        assert len(machine._states) <= before + 3  # one a run, not one a byte
+
+
+def test_space_beside_white_space():
+    encoder = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, 1 << 20)
+    assert [bool(encoder._odd(t)) for t in ("", " ", "a b", "a\nb", "a  b", "a \nb", "a\x85 b", "a \u3000b", "\u2003 b", "a\x1c b")] == [False] * 4 + [True] * 5 + [False]
+
+
 def test_token_counts(docs, library, tmp_path):
     names = tokencount.write_flat(docs, RANKS, public_tokenizers.PATTERN, 50256, folder=f"file://{tmp_path}", file_bytes=1 << 12)
     for block in (64, 1 << 20):

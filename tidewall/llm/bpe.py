@@ -196,21 +196,49 @@ class Transducer:
         return tuple(chain[:shared]), sum(len(names[t]) for t in chain[:shared])
 
     def run(self, piece: bytes) -> list[int]:
+        """A piece that leaves the ready transitions adds one state; what it has left is read without making any."""
         if len(self._states) > self._limit:
             self._reset()
         state, out, following, emits = 0, [], self._next.get, self._emit
-        for byte in piece:
+        for k, byte in enumerate(piece):
             at = state << 8 | byte
             state = following(at)
             if state is None:
                 state = self._step(at >> 8, byte)
+                if at in emits:
+                    out.extend(emits[at])
+                out.extend(self._rest(state, piece[k + 1 :]))
+                return out
             if at in emits:
                 out.extend(emits[at])
-        _, opened, last, _ = self._states[state]
-        if opened:
-            out.extend(self._chain(last, len(opened)))
+        out.extend(self._rest(state, b""))
         return out
 
+    def _rest(self, number: int, rest: bytes) -> list[int]:
+        """The tokens of a state's open bytes and of those that follow up to the end."""
+        before, opened, last, live = self._states[number]
+        if not rest:
+            return self._chain(last, len(opened)) if opened else []
+        value, last, beginnings, apart, usable = opened + rest, list(last), self._beginnings, self._merges.apart, self._checked
+        for end in range(len(opened) + 1, len(value) + 1):
+            found, reach = None, []
+            for start in (*live, end - 1):
+                entry = beginnings.get(value[start:end])
+                if entry is None:
+                    continue
+                token, longer = entry
+                if longer:
+                    reach.append(start)
+                if found is None and token >= 0 and (token in usable or self._usable(token)):
+                    left = last[start - 1] if start else before
+                    if left is None or apart(left, token):
+                        found = token
+            if found is None:
+                raise ValueError("no token ends here: the vocabulary lacks a byte")
+            last.append(found)
+            live = reach
+        return self._chain(last, len(value))
+
 
 class Encoder:
     """Texts to ids: pieces by a pattern, each through the transducer; stretches seen before come from a bounded memory."""
@@ -221,7 +249,8 @@ class Encoder:
         # White space as Unicode defines it; the library of the pattern would count four control characters more.
         spaced = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self._find = regex.compile(spaced).findall
-        self._odd = regex.compile(f"[{SPACE}] | [{SPACE}]").search
+        spaces = regex.findall(f"[{SPACE}]", "".join(map(chr, range(0x10000))))
+        self._spaces = [(sign, f" {sign}", f"{sign} ") for sign in spaces if sign != " "]
         self._stretches = _Memory(lambda stretch: self._encode(" " + stretch), memory // 8)
         self._pieces = _Memory(self._piece, memory // 8)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
@@ -233,6 +262,10 @@ class Encoder:
         """One per process: states and memory outlive a task, until a task of another operator starts."""
         return kept("bpe", ("bpe", path, pattern, memory), lambda: cls(load_ranks(path), pattern, memory))
 
+    def _odd(self, text: str) -> bool:
+        """True if a space stands beside other white space.  Most kinds of it are in no text, which is found out fastest."""
+        return "  " in text or any(sign in text and (after in text or ahead in text) for sign, after, ahead in self._spaces)
+
     def _encode(self, stretch: str) -> bytes:
         return b"".join(map(self._pieces.get_or_make, self._find(stretch)))
 
