@@ -51,11 +51,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.round_trip(docs, ranks, pattern, keep_ids=True, memory=ENCODER_BYTES)
+    return bpe.round_trip(docs, ranks, pattern, keep_ids=True, memory=ENCODER_BYTES, keep=False)
 
 
 #: The executors have run four stages when the encoder comes, and their heaps are large by then; an executor of two cores
-#: may have four Python workers that take turns, each with an encoder of its own.
+#: may have four Python workers that take turns.  So an encoder is small, and only a worker with a task has one.
 ENCODER_BYTES = 32 << 20
 
 STAGES = [

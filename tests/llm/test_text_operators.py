@@ -202,6 +202,19 @@ def test_space_beside_white_space():
     assert [bool(encoder._odd(t)) for t in ("", " ", "a b", "a\nb", "a  b", "a \nb", "a\x85 b", "a \u3000b", "\u2003 b", "a\x1c b")] == [False] * 4 + [True] * 5 + [False]
 
 
+def test_worker_drops_what_a_task_kept():
+    from tidewall.llm import common
+
+    def run(batches):
+        common.kept("once", ("table",), lambda: [1])
+        yield from batches
+
+    list(common.task("once")(run)(iter([1])))
+    assert list(common._KEPT) == [("table",)]
+    list(common.task("once", keep=False)(run)(iter([1])))
+    assert not common._KEPT
+
+
 def test_token_counts(docs, library, tmp_path):
     names = tokencount.write_flat(docs, RANKS, public_tokenizers.PATTERN, 50256, folder=f"file://{tmp_path}", file_bytes=1 << 12)
     for block in (64, 1 << 20):

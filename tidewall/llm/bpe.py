@@ -382,16 +382,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", tex
 
 def round_trip(
     docs: DataFrame, ranks: str, pattern: str, *, id: str = "doc_id", text: str = "text", keep_ids: bool = False,
-    memory: int = MEMORY,
+    memory: int = MEMORY, keep: bool = True,
 ) -> DataFrame:
     """Rows (`doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256`): encodes and decodes each whole text in one pass.
 
     With `keep_ids` also `ids`, little-endian unsigned 32-bit integers.  `memory` bounds the bytes that a worker keeps of
-    texts and states; less of it costs time only.
+    texts and states; less of it costs time only.  Without `keep` a worker drops them after each task.
     """
     more = ", ids binary" if keep_ids else ""
 
-    @task("bpe")
+    @task("bpe", keep)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(ranks, pattern, memory)
         for batch in batches:

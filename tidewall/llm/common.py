@@ -43,8 +43,9 @@ def enter(owner: str) -> None:
     give_back()
 
 
-def task(owner: str):
-    """For functions of `mapInArrow`: a worker that waits for its next task holds no more than what is `kept`."""
+def task(owner: str, keep: bool = True):
+    """For functions of `mapInArrow`: a worker that waits for its next task holds no more than what is `kept`, and nothing
+    without `keep`: an executor has more workers than cores, and those that wait take turns."""
 
     def wrap(run):
         def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +53,10 @@ def task(owner: str):
             try:
                 yield from run(batches)
             finally:
-                give_back()
+                if keep:
+                    give_back()
+                else:
+                    enter("")
 
         return all_batches
 
